@@ -107,7 +107,7 @@ class _Bare(str):
 def unwrap(text: str) -> str:
     """The text of the record itself: without byte order mark, code fence and levels of string quoting."""
     while True:
-        text = text.strip("﻿ \t\n\r")
+        text = text.strip("\ufeff \t\n\r")
         if fence := _FENCE.match(text):
             text = fence[1]
         elif text[:1] == '"':
