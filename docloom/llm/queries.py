@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.common import WHITE_SPACE, current_rows, strip, table
-from docloom.llm import pack, sentences, split
+from docloom.llm import decontam, pack, sentences, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,17 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.round(1 - F.sum("n") / (F.count("*") * pack.CAPACITY), 6).alias("unused"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a test item's passage, with the item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    return decontam.find_leaks(docs, "doc_id", "text", items, "item_id", "passage")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last character of each sentence of the prose documents."""
     docs = table(spark, sf_dir, "documents").filter("doc_form = 'prose'")
@@ -44,7 +55,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_pack, p6_report, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_pack, p6_report, p7_found, p7_items, p8_found, p8_sentences)}
 
 _SPACE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 ORACLES = {
