@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.common import WHITE_SPACE, current_rows, strip, table
-from docloom.llm import decontam, pack, sentences, split
+from docloom.llm import decontam, neighbours, pack, sentences, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).filter("piece_no = 1").select("doc_id", "pos")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of summaries whose embeddings have a cosine of 0.9 or more."""
+    pairs = neighbours.similar_pairs(table(spark, sf_dir, "doc_summary_index"), "row_id", "embedding", 0.9)
+    return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
+def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar summaries of every summary whose id is divisible by 20, among all summaries."""
+    rows = table(spark, sf_dir, "doc_summary_index").select("row_id", "embedding")
+    top = neighbours.nearest(rows, rows.filter("row_id % 20 = 0"), "row_id", "embedding", 10)
+    return top.select(F.col("id").alias("row_id"), "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens that takes each document, or each part of one above 2,048 tokens."""
     return pack.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -55,10 +68,14 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_pack, p6_report, p7_found, p7_items, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top10, p6_pack, p6_report, p7_found, p7_items, p8_found, p8_sentences)}
 
 _SPACE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
+_VECTORS = """vec AS (SELECT DISTINCT row_id, embedding::DOUBLE[64] AS e FROM doc_summary_index WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 ORACLES = {
+    "p3_found": f"""WITH {_VECTORS} SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM vec a JOIN vec b ON a.row_id < b.row_id
+WHERE array_cosine_similarity(a.e, b.e) >= 0.9""",
     "p1_found": f"""SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY ingested_at DESC) AS rn FROM tree_node)
 WHERE rn = 1 AND length(trim(text, {_SPACE})) > 1500""",
 }
