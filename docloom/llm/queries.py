@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.common import WHITE_SPACE, current_rows, strip, table
-from docloom.llm import decontam, neighbours, pack, sentences, split
+from docloom.llm import decontam, denoise, neighbours, pack, sentences, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,16 @@ def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("id").alias("row_id"), "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads, page numbers, divided words and misread lines in the nodes of scanned documents."""
+    return denoise.noisy_lines(table(spark, sf_dir, "tree_node"))
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running text of the nodes of scanned documents as whole paragraphs."""
+    return denoise.repaired(table(spark, sf_dir, "tree_node"))
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens that takes each document, or each part of one above 2,048 tokens."""
     return pack.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -68,7 +78,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top10, p6_pack, p6_report, p7_found, p7_items, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_top10, p5_found, p5_paragraphs, p6_pack, p6_report, p7_found, p7_items, p8_found, p8_sentences)}
 
 _SPACE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 _VECTORS = """vec AS (SELECT DISTINCT row_id, embedding::DOUBLE[64] AS e FROM doc_summary_index WHERE len(embedding) = 64
