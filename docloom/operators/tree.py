@@ -108,7 +108,7 @@ def node_texts(nodes: DataFrame, pages: DataFrame, doc: str = "doc_id", *, own:
     """
     n = nodes.select(doc, "pos", F.col("start_index").alias("a"), F.col("end_index").alias("b"))
     if own:
-        first = nodes.filter("parent_pos is not null").groupBy(doc, F.col("parent_pos").alias("pos")).agg(F.min_by("start_index", "pos").alias("child"))
+        first = nodes.filter("parent_pos is not null and start_index is not null").groupBy(doc, F.col("parent_pos").alias("pos")).agg(F.min_by("start_index", "pos").alias("child"))
         n = n.join(first, [doc, "pos"], "left").withColumn("b", F.when(F.col("child").isNotNull(), F.col("child") - 1).otherwise(F.col("b")))
     hit = n.join(pages, doc).filter("page_no between a and b")
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "page_text")))

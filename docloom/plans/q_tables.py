@@ -521,7 +521,7 @@ def tr13_outline(spark, sf):
     return tree.outline(nodes(spark, sf)).select("doc_id", "pos", "line")
 
 
-@register(f"""WITH {NODES}, ch AS (SELECT doc_id, parent_pos AS pos, arg_min(start_index, pos) AS child FROM n WHERE parent_pos IS NOT NULL GROUP BY doc_id, parent_pos),
+@register(f"""WITH {NODES}, ch AS (SELECT doc_id, parent_pos AS pos, arg_min(start_index, pos) AS child FROM n WHERE parent_pos IS NOT NULL AND start_index IS NOT NULL GROUP BY doc_id, parent_pos),
 r AS (SELECT n.doc_id, n.pos, start_index AS a, CASE WHEN child IS NOT NULL THEN child - 1 ELSE end_index END AS b FROM n LEFT JOIN ch USING (doc_id, pos)),
 pg AS (SELECT doc_id, page_no, string_agg(t, '' ORDER BY pos) AS page_text FROM (SELECT doc_id, start_index AS page_no, pos, coalesce(title, '') AS t FROM n WHERE start_index IS NOT NULL) GROUP BY doc_id, page_no)
 SELECT r.doc_id, r.pos, coalesce(string_agg(page_text, '' ORDER BY page_no), '') AS text FROM r LEFT JOIN pg ON r.doc_id = pg.doc_id AND pg.page_no BETWEEN r.a AND r.b GROUP BY r.doc_id, r.pos""")
