@@ -36,7 +36,7 @@ def _fold(boxes: DataFrame, doc: str, step: Callable[[dict, dict], bool]) -> Dat
             yield pd.DataFrame([open_], columns=COLUMNS)
 
     kind = boxes.schema[doc].dataType.simpleString()
-    ready = boxes.withColumnRenamed(doc, "doc").select(*COLUMNS).repartition("doc", "page_number").sortWithinPartitions("doc", "page_number", "no")
+    ready = boxes.withColumnRenamed(doc, "doc").select(*COLUMNS).repartition("doc", "page_number").sortWithinPartitions("doc", "page_number", "no", "top", "x0", "text")
     return ready.mapInPandas(run, SCHEMA.format(kind=kind)).withColumnRenamed("doc", doc)
 
 

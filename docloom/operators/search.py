@@ -42,11 +42,14 @@ def bm25_scores(df: DataFrame, key: str, text: str, terms: Sequence[str]) -> Dat
     """``key, score`` of the rows that hold one of the terms (OR), k1 = 1.2, b = 0.75."""
     terms = list(dict.fromkeys(terms))
     words = df.select(key, analysed(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    # one pass per row: keep the query's terms, then count each
-    hits = words.select(key, F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*terms)).alias("h"))
+    # One pass per row: keep the query's terms, then count each. Inlined as an array of one, since filters on the counts
+    # would otherwise be pushed down with the analysis of the text inside them, once per term.
+    once = F.struct(F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*terms)).alias("h"))
+    hits = words.select(key, F.inline(F.array(once)))
     tf = hits.select(key, "dl", *[_occurrences("h", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    one = lambda c: stats.select(c).scalar()
+    whole = stats.select(F.struct(*stats.columns)).scalar()  # one subquery, read for every statistic
+    one = lambda c: whole[c]
     score = F.lit(0.0)
     for i in range(len(terms)):
         f = F.col(f"tf{i}")

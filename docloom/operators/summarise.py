@@ -44,7 +44,8 @@ def first_paragraphs(df: DataFrame, doc: str, pos: str, path: str, text: str, k:
 
 def sentences(df: DataFrame, doc: str, pos: str, text: str, weight: Column, marks: str = "。！？.!?", longer_than: int = 20) -> DataFrame:
     """``doc, no, sentence, weight``: the sentences of a document's chunks, numbered through."""
-    s = df.select(doc, F.col(pos).alias("p"), weight.cast("double").alias("weight"), F.posexplode(X.sentences(F.coalesce(F.col(text), F.lit("")), marks, longer_than)).alias("i", "sentence"))
+    chunks = df.select(doc, F.col(pos).alias("p"), weight.cast("double").alias("weight"), X.sentences(F.coalesce(F.col(text), F.lit("")), marks, longer_than).alias("s"))  # before the rows multiply
+    s = chunks.select(doc, "p", "weight", F.posexplode("s").alias("i", "sentence"))
     return s.withColumn("no", F.row_number().over(Window.partitionBy(doc).orderBy("p", "i"))).select(doc, "no", "sentence", "weight")
 
 

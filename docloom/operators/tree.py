@@ -5,6 +5,9 @@ A node table has one row per node with its document, its position in preorder an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,21 +15,29 @@ from pyspark.sql.window import Window
 from docloom.functions import text as X
 
 
-def parents(nodes: DataFrame, doc: str, pos: str, level: str, deepest: int = 64) -> DataFrame:
-    """``nodes`` plus ``parent``: the nearest node before with a smaller level; null at the top.
+def parents(nodes: DataFrame, doc: str, pos: str, level: str) -> DataFrame:
+    """``doc, pos, parent``: the nearest node before with a smaller level; null at the top.
 
-    One window per document: the last position of every level so far is kept in a map of at most ``deepest`` entries.
-    Deeper levels raise an error rather than being cut.
+    One pass with a stack over (document, position, level), sorted within partitions; levels may be of any depth.
     """
-    before = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    checked = nodes.withColumn("__l", F.when(F.col(level) < deepest, F.col(level)).otherwise(F.raise_error(F.lit(f"level of {deepest} or more"))).cast("int"))
-    out = checked
-    top = out.agg(F.max("__l")).first()[0]
-    parent = F.lit(None).cast("int")
-    for l in range(int(top or 0)):
-        last = F.max(F.when(F.col("__l") == l, F.col(pos))).over(before)
-        parent = F.when(F.col("__l") > l, F.greatest(parent, last)).otherwise(parent)
-    return out.withColumn("parent", parent).drop("__l")
+    kind = nodes.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, stack = None, []
+        for pdf in batches:
+            out: list[int | None] = []
+            for d, p, l in zip(pdf["doc"], pdf["pos"], pdf["level"]):
+                if d != at:
+                    at, stack = d, []
+                while stack and stack[-1][0] >= l:
+                    stack.pop()
+                out.append(stack[-1][1] if stack else None)
+                stack.append((l, p))
+            yield pd.DataFrame({"doc": pdf["doc"], "pos": pdf["pos"], "parent": pd.array(out, dtype="Int32")})
+
+    narrow = nodes.select(F.col(doc).alias("doc"), F.col(pos).cast("int").alias("pos"), F.col(level).cast("int").alias("level")).filter("doc is not null and pos is not null and level is not null")
+    laid = narrow.repartition("doc").sortWithinPartitions("doc", "pos")
+    return laid.mapInPandas(run, f"doc {kind}, pos int, parent int").withColumnsRenamed({"doc": doc, "pos": pos})
 
 
 def dotted_parents(toc: DataFrame, doc: str, code: str, pos: str) -> DataFrame:
