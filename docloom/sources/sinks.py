@@ -7,25 +7,25 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.operators.catalog import replace_documents
 
-CHUNK_INDEX = T.StructType.fromDDL("chunk_id string, doc_id string, kb_id string, fd_id string, doc_title string, embedding_text string, page_num_int array<int>, section_hint string, section_id string, section_path array<string>, original_snippet string, embedding array<float>")
-ROUTER_INDEX = T.StructType.fromDDL("doc_id string, kb_id string, fd_id string, title string, summary string, keywords array<string>, topics array<string>, routing_text string, embedding array<float>, doc_type string, status int, create_time timestamp")
+CHUNK_INDEX = ("chunk_id string, doc_id string, kb_id string, fd_id string, doc_title string, embedding_text string, page_num_int array<int>, section_hint string, section_id string, section_path array<string>, original_snippet string, embedding array<float>")
+ROUTER_INDEX = ("doc_id string, kb_id string, fd_id string, title string, summary string, keywords array<string>, topics array<string>, routing_text string, embedding array<float>, doc_type string, status int, create_time timestamp")
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of an index, in order and type; absent ones are null."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    fields = [f.split() for f in schema.split(", ")]
+    return df.select(*[(F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
 
-def append(df: DataFrame, path: str, schema: T.StructType = CHUNK_INDEX) -> None:
+def append(df: DataFrame, path: str, schema: str = CHUNK_INDEX) -> None:
     """Append-only load, partitioned by knowledge base; a document that is loaded twice stands twice."""
     conform(df, schema).write.mode("append").partitionBy("kb_id").parquet(path)
 
 
-def upsert(spark: SparkSession, df: DataFrame, path: str, new_path: str, schema: T.StructType = CHUNK_INDEX) -> None:
+def upsert(spark: SparkSession, df: DataFrame, path: str, new_path: str, schema: str = CHUNK_INDEX) -> None:
     """A new version of an index in which the given documents have just the given rows."""
     old = spark.read.schema(schema).parquet(path)
     replace_documents(old, conform(df, schema)).write.mode("overwrite").partitionBy("kb_id").parquet(new_path)
