@@ -88,14 +88,14 @@ class Index:
         self.items = [items for _, items in passages]
         self.ids = [np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in toks], dtype=np.uint64) for toks, _ in passages]
         self.letters = [sum(len(t) == 1 and t > "\u0e00" for t in toks) * 2 > len(toks) for toks, _ in passages]
-        keys, owner, place = [], [], []
+        keys, owner, place = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for p, ids in enumerate(self.ids):
             for m in range(len(MASKS)):
                 h = _hashes(ids, m, np.arange(max(0, len(ids) - len(MASKS[m]) + 1)))
                 keys.append(h)
                 owner.append(np.full(len(h), p))
                 place.append(np.arange(len(h)))
-        keys, owner, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, owner, place))
+        keys, owner, place = (np.concatenate(x) for x in (keys, owner, place))
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner, self.place = keys[order], owner[order], place[order]
         self.unique, self.first, self.many = np.unique(self.keys, return_index=True, return_counts=True)
@@ -138,8 +138,8 @@ class Index:
         doc = np.searchsorted(starts, where, side="right") - 1
         pair = doc.astype(np.int64) * len(self.ids) + owner
         # places of each passage that are hit in each document; a quarter of what is asked for is enough to look closer
-        spot = np.unique(pair * 4096 + np.minimum(place, 4095))
-        pairs, hits = np.unique(spot // 4096, return_counts=True)
+        spot = np.unique(pair * (1 << 20) + np.minimum(place, (1 << 20) - 1))
+        pairs, hits = np.unique(spot >> 20, return_counts=True)
         likely = pairs[hits >= 0.12 * self.lengths[pairs % len(self.ids)]]
         if not len(likely):
             return

@@ -83,8 +83,8 @@ _THAI = re.compile("[฀-๿]")
 _INSERTED = re.compile(rf"[^฀-๿{_CJK}ऀ-ॿ؀-ۿ]*")
 _WIDE = re.compile("[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-鿿가-힣豈-﫿︰-﹏＀-｠￠-￦]")
 
-#: Longest line that counts as wrapped.
-WIDEST = 120
+#: Shortest and longest width that lines are wrapped to.
+NARROWEST, WIDEST = 20, 120
 
 
 def is_wrapped(paragraphs: list[str]) -> bool:
@@ -103,10 +103,10 @@ def is_wrapped(paragraphs: list[str]) -> bool:
                 return False
             pairs += zip(lines, lines[1:])
     n = len(pairs)
-    if not n:
+    if not n or widest < NARROWEST:
         return False
     open_ends = [(a, b) for a, b in pairs if a.rstrip("”’»」』）)\"“'")[-1:] not in END_MARKS]
-    if len(open_ends) < 0.5 * n:
+    if len(open_ends) < (0.5 if n > 3 else 0.6) * n:
         return False
     thai = sum(bool(_THAI.match(a[-1])) for a, _ in open_ends) > 0.5 * n
     if n > 3 and not thai and len(open_ends) < n:

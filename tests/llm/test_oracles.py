@@ -1,0 +1,16 @@
+import pytest
+
+from compare import same
+from conftest import SF
+from docloom.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows(spark, duck, name):
+    same(spark, duck, QUERIES[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert df.count() > 0 and len(df.columns) == len(set(df.columns))
