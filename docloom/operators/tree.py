@@ -86,7 +86,7 @@ def leaf_rows(nodes: DataFrame, doc: str, pos: str, parent: str, *, include_inne
     generated = F.concat(F.lit("gen_id_"), F.lpad((n - 1).cast("string"), 5, "0"))
     return rows.select(
         doc, pos, F.coalesce(F.nullif(F.col("node_id"), F.lit("")), generated).alias("section_id"), hint.alias("section_hint"),
-        F.array_join("path", " > ").alias("section_path"), F.array_join(X.page_range(F.col("start_index"), F.col("end_index"), n), ",").alias("page_num"),
+        F.col("path").alias("section_path"), X.page_range(F.col("start_index"), F.col("end_index"), n).alias("page_num_int"),
         X.clean_text(F.coalesce(F.col("text"), F.lit(""))).alias("original_snippet"), X.embedding_text(F.col("path"), X.clean_text(F.coalesce(F.col("text"), F.lit(""))), hint).alias("embedding_text"),
     )
 

@@ -489,7 +489,8 @@ def tr03_leaves(spark, sf):
 
 @register(f"WITH {NODES}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.doc_id = n.doc_id AND b.parent_pos = n.pos)) SELECT doc_id, pos, coalesce(nullif(node_id, ''), 'gen_id_' || lpad(CAST(k - 1 AS VARCHAR), 5, '0')) AS section_id, array_to_string(path, ' > ') AS section_path, trim(replace(string_split(coalesce(text, ''), '【原始数据内容】:')[-1], chr(10), ' '), {WS}) AS original_snippet FROM l")
 def tr01_leaf_rows(spark, sf):
-    return tree.leaf_rows(nodes(spark, sf), "doc_id", "pos", "parent_pos").select("doc_id", "pos", "section_id", "section_path", "original_snippet")
+    rows = tree.leaf_rows(nodes(spark, sf), "doc_id", "pos", "parent_pos")
+    return rows.select("doc_id", "pos", "section_id", F.array_join("section_path", " > ").alias("section_path"), "original_snippet")
 
 
 _UNTIL = "u AS (SELECT a.doc_id, a.pos, min(b.pos) AS until FROM n a LEFT JOIN n b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.level <= a.level GROUP BY a.doc_id, a.pos)"
