@@ -25,6 +25,8 @@ from docloom.functions.common import cut
 
 #: Preorder positions in one unit of work of :func:`with_paths`.
 BLOCK = 4096
+#: Rows that :func:`with_paths` hands on at once where a node gives several.
+ROWS = 50_000
 #: What nested_sets adds; columns of the input with these names are replaced.
 RESULT = ("nid", "root_nid", "depth", "pre", "last", "on_cycle", "cycle_id")
 
@@ -137,6 +139,7 @@ def with_paths(
     *,
     out: T.StructType | None = None,
     make: Callable[[list[str], tuple], tuple] | None = None,
+    many: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
     """For each node of :func:`nested_sets` in a tree: ``carry`` and its path of ids from the root.
@@ -144,7 +147,7 @@ def with_paths(
     Nodes are laid out in preorder in blocks of ``block`` positions; a node whose range crosses into later blocks is
     repeated there as an ancestor, and one pass with a stack per block gives each path. The data moved is that of the
     nodes, not of the paths. ``make(stack of ids, carried values)`` builds the row that is returned; by default the
-    carried values and ``path array<string>``.
+    carried values and ``path array<string>``. With ``many`` it builds a list of rows.
     """
     carry = list(carry)
     if out is None:
@@ -177,7 +180,10 @@ def with_paths(
                 stack.append(ident)
                 ends.append(last)
                 if own_row:
-                    rows.append(make(stack, extra))
+                    rows += make(stack, extra) if many else [make(stack, extra)]
+                    if many and len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return laid.mapInPandas(run, out)
@@ -194,3 +200,18 @@ def descendants(tree: DataFrame, of: DataFrame, id_col: str, *, block: int = BLO
     a = a.withColumn("__block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
     d = tree.filter("root_nid is not null").select("root_nid", F.col(id_col).alias("descendant"), "pre", "depth", F.floor(F.col("pre") / block).alias("__block"))
     return a.join(d, ["root_nid", "__block"]).filter("pre > lo and pre <= hi").select("ancestor", "descendant", (F.col("depth") - F.col("da")).alias("distance"))
+
+
+def all_descendants(tree: DataFrame, id_col: str, *, block: int = BLOCK) -> DataFrame:
+    """(ancestor, descendant, distance) for every node of a tree and each node below it.
+
+    Read off the stack of :func:`with_paths`, so that the work is that of the pairs there are; :func:`descendants` is
+    for a few chosen ancestors. Nodes that run into a circle are in no tree and have no pairs.
+    """
+    kind = tree.schema[id_col].dataType
+    out = T.StructType([T.StructField("ancestor", kind), T.StructField("descendant", kind), T.StructField("distance", T.LongType())])
+
+    def pairs(stack: list[str], _: tuple) -> list[tuple]:
+        return [(a, stack[-1], len(stack) - 1 - i) for i, a in enumerate(stack[:-1])]
+
+    return with_paths(tree, id_col, out=out, make=pairs, many=True, block=block)

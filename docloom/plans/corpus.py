@@ -99,7 +99,13 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(tree, tree.filter("depth = 1").select("fd_id"), "fd_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_records, p2_boxes, p4_found, p4_folders, p4_descendants)}
+def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every folder, with their distance."""
+    tree = hierarchy.nested_sets(folder_rows(spark, sf_dir).select("fd_id", "parent_id"), "fd_id", "parent_id")
+    return hierarchy.all_descendants(tree, "fd_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_records, p2_boxes, p4_found, p4_folders, p4_descendants, p4_all_descendants)}
 
 _FOLDERS = r"""
 WITH RECURSIVE norm AS (
@@ -125,4 +131,6 @@ UNION ALL SELECT fd_id, cycle_id FROM ring""",
 SELECT d.fd_id, CAST(len(d.path) AS BIGINT) AS depth, CAST(k.n AS BIGINT) AS descendants, d.root_fd_id, array_to_string(d.path, ',') AS path, false AS on_cycle FROM down d JOIN kids k USING (fd_id)
 UNION ALL SELECT fd_id, 0, 0, cycle_id, '', true FROM ring""",
     "p4_descendants": _FOLDERS + "SELECT root_fd_id AS ancestor, fd_id AS descendant, CAST(len(path) - 1 AS BIGINT) AS distance FROM down WHERE len(path) > 1",
+    "p4_all_descendants": _FOLDERS + """SELECT path[i] AS ancestor, fd_id AS descendant, CAST(len(path) - i AS BIGINT) AS distance
+FROM (SELECT fd_id, path, unnest(range(1, len(path))) AS i FROM down)""",
 }

@@ -61,3 +61,12 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", None, 9, "x"), ("b", "a", 9, "y"), (None, "a", 1, "z")], "id string, up string, depth int, pre string")
     got = {r["id"]: (r["depth"], r["on_cycle"]) for r in hierarchy.nested_sets(df, "id", "up").collect()}
     assert got == {"a": (1, False), "b": (2, False), None: (2, False)}
+
+
+def test_descendants_of_every_node(spark):
+    rows = [("r", None)] + [(f"c{i:03d}", f"c{i - 1:03d}" if i else "r") for i in range(40)] + [(f"h{i}", "c010") for i in range(9)]
+    rows += [("a", "b"), ("b", "a"), ("t", "a")]
+    tree, paths = check(spark, rows, block=16)
+    got = sorted((r["ancestor"], r["descendant"], r["distance"]) for r in hierarchy.all_descendants(tree, "id", block=16).collect())
+    assert got == sorted((a, p[-1], len(p) - 1 - i) for p in paths.values() for i, a in enumerate(p[:-1]))
+    assert len({a for a, _, _ in got}) == 40
