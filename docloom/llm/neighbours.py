@@ -99,12 +99,22 @@ def _laid_out(stored: DataFrame, asking: DataFrame | None, axes: int, part_rows:
     return rows.unionByName(asks).repartition("bucket").sortWithinPartitions("bucket", "role")
 
 
-def _matrix(values: list[bytes]) -> np.ndarray:
+def _matrix(values: list[bytes], unit: bool = True) -> np.ndarray:
     v = np.frombuffer(b"".join(values), dtype=np.int8).reshape(len(values), -1).astype(np.float32)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True) if unit else v
 
 
-def _meet(batches: Iterator[pd.DataFrame], among: bool, compare) -> Iterator[pd.DataFrame]:
+def _best(sim: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the ``m`` largest values of each row; of equal values those with the smaller ids."""
+    best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+    least = np.take_along_axis(sim, best, 1).min(axis=1)
+    for i in np.flatnonzero((sim >= least[:, None]).sum(axis=1) > m):
+        over, level = np.flatnonzero(sim[i] > least[i]), np.flatnonzero(sim[i] == least[i])
+        best[i] = np.concatenate([over, level[np.argsort(ids[level], kind="stable")[: m - len(over)]]])
+    return best
+
+
+def _meet(batches: Iterator[pd.DataFrame], among: bool, compare, unit: bool = True) -> Iterator[pd.DataFrame]:
     """Run ``compare(asking ids, asking, stored ids, stored, same rows?)`` over every bucket, in blocks."""
     at, ids, vectors, kept, done = None, [], [], None, False
 
@@ -132,7 +142,7 @@ def _meet(batches: Iterator[pd.DataFrame], among: bool, compare) -> Iterator[pd.
             if bucket[a] != at:
                 yield from close()
                 at, ids, vectors, kept, done = bucket[a], [], [], None, False
-            part = _matrix(raw[a:b])
+            part = _matrix(raw[a:b], unit)
             if role[a] == 0:
                 ids.append(all_ids[a:b])
                 vectors.append(part)
@@ -179,27 +189,36 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, threshold: float, *,
 def nearest(df: DataFrame, queries: DataFrame, key: str, embedding: str, k: int = 10, *, dim: int = 64, tables: int = 8, probes: int = 6, part_rows: int = PART_ROWS) -> DataFrame:
     """``id, neighbour, rank, similarity``: for each query its ``k`` most similar other keys in ``df``.
 
-    Every usable row of ``df`` is stored. Ties in similarity go to the smaller key. Per bucket a query passes on its
-    best ``2 k`` candidates by the byte vectors, and the best ``2 k`` over all buckets are compared exactly.
+    A key that stands in several usable rows is one key, with the smallest of its vectors should they differ. Ties in
+    similarity go to the smaller key. Per bucket a query passes on its best ``2 k`` keys by the byte vectors, ties again
+    to the smaller key, and the best ``2 k`` over all buckets are compared exactly.
     """
     axes = turns(dim, 1, 0)[0].shape[1] * 2
-    stored = cut(hashed(df, key, embedding, dim=dim, tables=tables, probes=1))
-    asking = hashed(queries, key, embedding, dim=dim, tables=tables, probes=probes)
+
+    def single(d: DataFrame) -> DataFrame:
+        good = d.filter(F.col(key).isNotNull() & usable(embedding, dim)).select(F.col(key).cast("long").alias("k"), F.col(embedding).alias("e"))
+        return good.groupBy("k").agg(F.min("e").alias("e"))
+
+    stored = cut(hashed(single(df), "k", "e", dim=dim, tables=tables, probes=1))
+    asking = hashed(single(queries), "k", "e", dim=dim, tables=tables, probes=probes)
     want = 2 * k
 
     def compare(q_ids, q, s_ids, s, same):
+        # products of whole numbers are exact, so equal vectors are equally near wherever they stand
         sim = q @ s.T
+        sim /= np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+        sim /= np.sqrt(np.einsum("ij,ij->i", s, s))[None, :]
         sim[q_ids[:, None] == s_ids[None, :]] = -2
         m = min(want, sim.shape[1])
-        best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+        best = _best(sim, s_ids, m)
         out = pd.DataFrame({"id": np.repeat(q_ids, m), "neighbour": s_ids[best].ravel(), "near": np.take_along_axis(sim, best, 1).ravel()})
         return out[out["near"] > -2]
 
-    found = _laid_out(stored, asking, axes, part_rows).mapInPandas(lambda it: _meet(it, False, compare), "id long, neighbour long, near float")
+    found = _laid_out(stored, asking, axes, part_rows).mapInPandas(lambda it: _meet(it, False, compare, unit=False), "id long, neighbour long, near float")
     found = found.groupBy("id", "neighbour").agg(F.max("near").alias("near"))
     w = Window.partitionBy("id").orderBy(F.desc("near"), "neighbour")
     found = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= want)
-    pick = lambda d, name, vec: d.filter(F.col(key).isNotNull() & usable(embedding, dim)).select(F.col(key).cast("long").alias(name), F.col(embedding).alias(vec)).dropDuplicates([name])
+    pick = lambda d, name, vec: single(d).select(F.col("k").alias(name), F.col("e").alias(vec))
     exact = found.join(pick(queries, "id", "eq"), "id").join(pick(df, "neighbour", "en"), "neighbour")
     exact = exact.select("id", "neighbour", cosine(F.col("eq"), F.col("en")).alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")

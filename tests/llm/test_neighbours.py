@@ -62,3 +62,21 @@ def test_recall_of_the_ten_nearest(spark):
     s[np.arange(100), np.arange(100) * 20] = -2
     want = {(q * 20, int(b)) for q, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for b in row}
     assert len(got & want) >= 0.9 * len(want) and len(got) == 1000
+
+
+def test_repeated_rows_and_copies_leave_room_for_the_others(spark):
+    rng = np.random.default_rng(4)
+    x = (np.ones(64) + 0.2 * rng.normal(size=(40, 64))).astype(np.float32)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = [int(i) for i in np.argsort(-(u @ u[0])) if i][:10]
+    close = (rows[order[0]][1], rows[order[1]][1])
+    often = rows + [(order[0], close[0])] * 60 + [(order[1], close[1])] * 60 + [rows[0]] * 60
+    df = spark.createDataFrame(often, "row_id long, embedding array<float>").repartition(3)
+    top = neighbours.nearest(df, df.filter("row_id = 0"), "row_id", "embedding", 10, probes=32).collect()
+    assert [r["neighbour"] for r in sorted(top, key=lambda r: r["rank"])] == order
+    # sixty copies under other ids, in no order: the smallest ids win
+    ids = rng.permutation(np.arange(100, 160)).tolist()
+    df = spark.createDataFrame([rows[0]] + [(i, close[0]) for i in ids], "row_id long, embedding array<float>")
+    top = neighbours.nearest(df, df.filter("row_id = 0"), "row_id", "embedding", 10, probes=32).collect()
+    assert [r["neighbour"] for r in sorted(top, key=lambda r: r["rank"])] == list(range(100, 110))
