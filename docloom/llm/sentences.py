@@ -5,8 +5,8 @@ fits decides a position; positions are what follows a run of end marks with its
 of the languages whose script occurs in the text come first, the common table last. Texts are mixed and their language
 tag is often wrong, so tables are chosen by the text, not by the tag.
 
-A text is first cut into paragraphs: at blank lines, and at every line feed unless the lines are wrapped to a width
-(:func:`is_wrapped`). A paragraph end always ends a sentence. Thai has no end marks: there a space between two Thai
+A text is first cut into paragraphs: at blank lines, and at every line feed unless the lines of its block
+between blank lines are wrapped to a width (:func:`wrapped_blocks`). A paragraph end always ends a sentence. Thai has no end marks: there a space between two Thai
 words, or between Thai and a run of other text that is no mere insertion, ends one.
 """
 
@@ -87,32 +87,73 @@ _WIDE = re.compile("[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-鿿가-힣豈-﫿︰-﹏＀-｠￠
 NARROWEST, WIDEST = 20, 120
 
 
+def _filled(a: str, b: str, width: float) -> bool:
+    """Whether what line ``b`` begins with is more than would have fitted on line ``a``."""
+    return len(a) + 1 + (1 if _WIDE.match(b) else len(b.split(None, 1)[0])) > width
+
+
+def _is_open(line: str) -> bool:
+    """Whether a line ends without an end mark."""
+    return line.rstrip("”’»」』）)\"“'")[-1:] not in END_MARKS
+
+
+def _lines(paragraph: str) -> list[str]:
+    return [x.strip() for x in paragraph.split("\n") if x and not x.isspace()]
+
+
+def _width(lines: list[str]) -> int | None:
+    """The width that lines keep to, but for a tenth of them and a quarter over ``WIDEST``; None if more are over it."""
+    lengths = sorted(len(x) for x in lines if len(x) <= WIDEST)
+    if not lengths or len(lengths) < 0.75 * len(lines):
+        return None
+    return lengths[-1 - len(lengths) // 10]
+
+
 def is_wrapped(paragraphs: list[str]) -> bool:
     """Whether the line feeds inside these paragraphs only wrap the text to a width.
 
-    Lines that end where a sentence does are paragraphs. Where most do not and no line is long, they are wrapped. Where
+    Lines that end where a sentence does are paragraphs. Where most do not and few lines are long, they are wrapped. Where
     that says little (a few lines, or a script or text without end marks) what lines begin with must also be more than
     would have fitted on the line before.
     """
-    pairs, widest = [], 0
-    for p in paragraphs:
-        if "\n" in p:
-            lines = [x.strip() for x in p.split("\n") if x and not x.isspace()]
-            widest = max(widest, *map(len, lines))
-            if widest > WIDEST:
-                return False
-            pairs += zip(lines, lines[1:])
+    parts = [_lines(p) for p in paragraphs if "\n" in p]
+    pairs = [pair for lines in parts for pair in zip(lines, lines[1:])]
     n = len(pairs)
-    if not n or widest < NARROWEST:
+    widest = _width([x for lines in parts for x in lines])
+    if not n or widest is None or widest < NARROWEST:
         return False
-    open_ends = [(a, b) for a, b in pairs if a.rstrip("”’»」』）)\"“'")[-1:] not in END_MARKS]
+    open_ends = [(a, b) for a, b in pairs if _is_open(a)]
     if len(open_ends) < (0.5 if n > 3 else 0.6) * n:
         return False
     thai = sum(bool(_THAI.match(a[-1])) for a, _ in open_ends) > 0.5 * n
     if n > 3 and not thai and len(open_ends) < n:
         return True
-    full = sum(len(a) + 1 + (1 if _WIDE.match(b) else len(b.split(None, 1)[0])) > 0.82 * widest for a, b in pairs)
-    return full >= (0.7 if n > 1 else 1) * n
+    return sum(_filled(a, b, 0.82 * widest) for a, b in pairs) >= (0.7 if n > 1 else 1) * n
+
+
+def wrapped_blocks(blocks: list[str]) -> list[bool]:
+    """For each block between blank lines whether its line feeds only wrap it.
+
+    A block of more than four lines is judged by itself; where that fails and not nearly all its lines end where
+    sentences do, the blocks of short lines together decide. A smaller block says little and follows those at
+    once; where it has long lines itself, its other lines must also fill their width.
+    """
+    if not any("\n" in p for p in blocks):
+        return [False] * len(blocks)
+    lines = [_lines(p) if "\n" in p else [] for p in blocks]
+    short = {i for i, x in enumerate(lines) if x and _width(x) is not None}
+    whole = is_wrapped([blocks[i] for i in short])
+    width = _width([x for i in short for x in lines[i]]) if whole else None
+    out = []
+    for i, own in enumerate(lines):
+        if len(own) > 4:
+            closed = sum(map(_is_open, own[:-1])) <= 0.2 * (len(own) - 1)
+            out.append(is_wrapped([blocks[i]]) or whole and i in short and not closed)
+        elif not own or not whole:
+            out.append(False)
+        else:
+            out.append(i in short or all(len(a) <= width and _filled(a, b, width) for a, b in zip(own, own[1:])))
+    return out
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -122,10 +163,10 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
         spans.append((at, m.start()))
         at = m.end()
     spans.append((at, len(text)))
-    if "\n" in text and not is_wrapped([text[a:b] for a, b in spans]):
+    if "\n" in text:
         lines = []
-        for a, b in spans:
-            while (z := text.find("\n", a, b)) >= 0:
+        for (a, b), wrapped in zip(spans, wrapped_blocks([text[a:b] for a, b in spans])):
+            while not wrapped and (z := text.find("\n", a, b)) >= 0:
                 lines.append((a, z))
                 a = z + 1
             lines.append((a, b))

@@ -59,3 +59,15 @@ def test_operator(spark):
     got = sorted((r["doc_id"] or 0, r["sentence_no"], r["start_char"], r["end_char"], r["sentence"]) for r in sentences.split_sentences(df, "doc_id", "text").collect())
     assert got == [(0, 0, 1, 1, "X"), (1, 0, 1, 3, "Ab."), (1, 0, 1, 3, "Ab."), (1, 1, 5, 7, "Cd."), (1, 1, 5, 7, "Cd.")]
     assert sentences.split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_long_line_does_not_settle_the_document():
+    block = "Operators in Brikabex reported fewer faults after\nnavigation was moved to the night shift and the\nplan was filed with all of its annexes by the\nauditor of the port, who had read each of\nthem."
+    long = block[:-5] + "them who had come by then.".replace(".", " and\n") + block
+    joined = long.replace("\nnavigation", " navigation", 1).replace("and the\nplan", "and the plan", 1)
+    assert max(map(len, joined.split("\n"))) > sentences.WIDEST
+    assert len(cut(f"{block}\n\n{block}\n\n{joined}\n\n{block}")) == 4
+    # a long paragraph, and lines that are paragraphs, beside a wrapped passage
+    assert len(cut(f"{block}\n\n{'Nothing stops here and so on ' * 8}end.")) == 2
+    lines = "\n".join(f"{'Each line is a paragraph of its own ' * 4}{i}" for i in range(6))
+    assert len(cut(f"{lines}\n\n{block}")) == 7
