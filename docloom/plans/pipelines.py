@@ -91,21 +91,26 @@ def page_index(pages: DataFrame, *, toc_pages: int = 20) -> DataFrame:
     return nodes.join(text, ["doc", "pos"])
 
 
-def split_large(nodes: DataFrame, pages: DataFrame, *, most_pages: int = 10, most_tokens: int = 10_000, rounds: int = 3) -> DataFrame:
-    """Nodes of more pages and tokens than allowed are cut into halves of pages, up to ``rounds`` times.
+def split_large(nodes: DataFrame, pages: DataFrame, *, most_pages: int = 10, most_tokens: int = 10_000) -> DataFrame:
+    """Nodes of more pages and tokens than allowed are cut into halves of pages, until none is left.
 
     ``nodes``: doc, pos, title, start_index, end_index; ``pages``: doc, page_no, tokens. Gives the same with ``part``.
     """
     size = pages.select("doc", "page_no", "tokens")
     work = nodes.select("doc", "pos", "title", "start_index", "end_index").withColumn("part", F.lit(""))
-    for _ in range(rounds):
+    done = None
+    while True:
         n = work.join(size, "doc").filter("page_no between start_index and end_index").groupBy("doc", "pos", "part").agg(F.sum("tokens").alias("n"))
-        w = work.join(n, ["doc", "pos", "part"], "left")
-        big = (F.col("end_index") - F.col("start_index") + 1 > most_pages) & (F.coalesce("n", F.lit(0)) >= most_tokens)
+        span = F.col("end_index") - F.col("start_index") + 1
+        big = F.coalesce((span > max(most_pages, 1)) & (F.coalesce("n", F.lit(0)) >= most_tokens), F.lit(False))
+        w = cut(work.join(n, ["doc", "pos", "part"], "left").withColumn("big", big).drop("n"))
+        fine = w.filter("not big").drop("big").select("doc", "pos", "title", "start_index", "end_index", "part")
+        done = fine if done is None else done.unionByName(fine)
+        if w.filter("big").isEmpty():
+            return done
         middle = F.floor((F.col("start_index") + F.col("end_index")) / 2).cast("int")
-        halves = F.when(big, F.array(F.struct(F.concat("part", F.lit("1")).alias("part"), F.col("start_index").alias("a"), middle.alias("b")), F.struct(F.concat("part", F.lit("2")).alias("part"), (middle + 1).alias("a"), F.col("end_index").alias("b")))).otherwise(F.array(F.struct(F.col("part"), F.col("start_index").alias("a"), F.col("end_index").alias("b"))))
-        work = w.select("doc", "pos", "title", F.explode(halves).alias("h")).select("doc", "pos", "title", F.col("h.a").alias("start_index"), F.col("h.b").alias("end_index"), F.col("h.part").alias("part"))
-    return work
+        halves = F.array(F.struct(F.concat("part", F.lit("1")).alias("part"), F.col("start_index").alias("a"), middle.alias("b")), F.struct(F.concat("part", F.lit("2")).alias("part"), (middle + 1).alias("a"), F.col("end_index").alias("b")))
+        work = w.filter("big").select("doc", "pos", "title", F.explode(halves).alias("h")).select("doc", "pos", "title", F.col("h.a").alias("start_index"), F.col("h.b").alias("end_index"), F.col("h.part").alias("part"))
 
 
 def chunked(pages: DataFrame, entries: DataFrame, *, most_tokens: int = 20_000) -> DataFrame:

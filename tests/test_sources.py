@@ -142,3 +142,12 @@ def test_merged_subtrees(spark):
     subs = spark.createDataFrame([("d", 1, 0, 0, 0, "Intro"), ("d", 1, 0, 1, 1, "Deep"), ("d", 2, 1, 0, 0, "x"), ("d", 2, 1, 1, 0, "y")], "doc string, no int, part int, pos int, level int, title string")
     got = [(r["level"], r["title"]) for r in pipelines.merged_subtrees(parts, subs).orderBy("pos").collect()]
     assert got == [(0, "Intro"), (1, "Deep"), (0, "Alpha"), (1, "A1"), (2, "x"), (2, "y"), (1, "A2")]
+
+
+def test_very_large_nodes_are_cut_until_none_is_over_the_limits(spark):
+    nodes = spark.createDataFrame([("d", 1, "A", 1, 1000), ("d", 2, "B", 1001, 1004)], "doc string, pos int, title string, start_index int, end_index int")
+    pages = spark.range(1, 1005).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("page_no"), F.lit(1000).alias("tokens"))
+    cut = pipelines.split_large(nodes, pages, most_pages=10, most_tokens=5000).collect()
+    assert max(r["end_index"] - r["start_index"] + 1 for r in cut) <= 10
+    assert sorted(p for r in cut for p in range(r["start_index"], r["end_index"] + 1)) == list(range(1, 1005))
+    assert [(r["part"], r["start_index"], r["end_index"]) for r in cut if r["pos"] == 2] == [("", 1001, 1004)]
