@@ -72,15 +72,21 @@ def rank_sentences(texts: list[str], weights: list[float]) -> list[float]:
     place = np.full(len(vocabulary), -1)
     place[shared] = np.arange(len(shared))
     keep = place[cols] >= 0
-    m = np.zeros((n, len(shared)), dtype=np.float32)
-    m[rows[keep], place[cols[keep]]] = value[keep]
-    links = (m @ m.T).astype(np.float64)
-    np.fill_diagonal(links, norm > 0)
-    out = links.sum(axis=1, keepdims=True)
-    walk = np.divide(links, out, out=np.full_like(links, 1 / n), where=out > 0)
+    rows, cols, value = rows[keep], place[cols[keep]], value[keep]
+    # links are M M^T with ones on the diagonal for sentences with words; only M is ever held
+    own = (norm > 0) - np.bincount(rows, value * value, minlength=n)
+
+    def linked(x: np.ndarray) -> np.ndarray:
+        words_of = np.bincount(cols, value * x[rows], minlength=len(shared))
+        return np.bincount(rows, value * words_of[cols], minlength=n) + own * x
+
+    out = linked(np.ones(n))
+    alone = norm == 0
+    out[alone] = 1
     rank = np.full(n, 1 / n)
     for _ in range(ROUNDS):
-        new = DAMPING * rank @ walk + (1 - DAMPING) / n
+        share = np.where(alone, 0, rank / out)
+        new = DAMPING * (linked(share) + rank[alone].sum() / n) + (1 - DAMPING) / n
         done = np.abs(new - rank).sum() < n * TOLERANCE
         rank = new
         if done:
@@ -102,20 +108,16 @@ def diversify(texts: list[str], scores: list[float], k: int = 5, trade: float =
     return chosen
 
 
-def summaries(sents: DataFrame, doc: str, k: int = 6, trade: float = 0.7, most: int = 2000) -> DataFrame:
+def summaries(sents: DataFrame, doc: str, k: int = 6, trade: float = 0.7) -> DataFrame:
     """``doc, rank, no, sentence, score``: the most central and diverse sentences of each document.
 
-    ``most`` bounds the sentence graph of one document; documents with more are ranked in consecutive parts of that
-    size whose scores are shares of their part, and the choice is made over all of them.
+    The ranking is over the whole document, in memory and time of its words.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
         texts, weights = pdf["sentence"].tolist(), pdf["weight"].tolist()
-        scores: list[float] = []
-        for a in range(0, len(texts), most):
-            part = rank_sentences(texts[a : a + most], weights[a : a + most])
-            scores += [s * len(part) / len(texts) for s in part]
+        scores = rank_sentences(texts, weights)
         chosen = diversify(texts, scores, k, trade)
         nos = pdf["no"].tolist()
         return pd.DataFrame([(pdf["doc"].iloc[0], r + 1, nos[i], texts[i], scores[i]) for r, i in enumerate(chosen)], columns=["doc", "rank", "no", "sentence", "score"])

@@ -172,3 +172,16 @@ def test_catalogue(spark):
 def test_rag_needs_a_knowledge_base(spark):
     with pytest.raises(ValueError):
         search.rag_search(None, None, [1.0], ["a"], kb_ids=[])
+
+
+def test_long_documents_are_ranked_as_a_whole(spark):
+    # the words shared with the last sentences stand more than 2,000 sentences before them
+    texts = [f"zebra{i} apple{i}" for i in range(2100)]
+    texts[5] = "common market signal"
+    for i in range(2050, 2060):
+        texts[i] = f"common market signal alone{i}"
+    whole = summarise.rank_sentences(texts, [1.0] * len(texts))
+    df = spark.createDataFrame([("d", i, t, 1.0) for i, t in enumerate(texts)], "doc string, no int, sentence string, weight double")
+    got = {r["no"]: r["score"] for r in summarise.summaries(df, "doc", k=2100).collect()}
+    assert len(got) == 2100 and all(abs(got[i] - whole[i]) < 1e-12 for i in got)
+    assert got[5] > 1.01 * got[6]
