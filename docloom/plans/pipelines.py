@@ -61,26 +61,69 @@ def simple_text_tree(df: DataFrame, key: str, text: str, to_markdown: Callable[[
     return markdown_tree(md, key, "__md")
 
 
-def page_index(pages: DataFrame, *, toc_pages: int = 20) -> DataFrame:
+def checked(placed: DataFrame, seen: DataFrame, totals: DataFrame) -> DataFrame:
+    """The entries of ``placed`` (doc, pos, title, level, physical_index) in documents whose contents hold, repaired.
+
+    ``seen``: doc, pos, physical_index of the pages where titles stand; ``totals``: doc, total. An entry is right if its
+    title stands on its page. Documents go on with more than 0.3 right and a last entry in their second half; a wrong
+    entry goes to the first page between its right neighbours where its title stands, or stays without one.
+    """
+    spots = seen.select("doc", "pos", F.col("physical_index").alias("spot")).distinct()
+    right = spots.select("doc", "pos", F.col("spot").alias("physical_index"), F.lit("yes").alias("correct"))
+    ok = placed.join(right, ["doc", "pos", "physical_index"], "left").na.fill("no", ["correct"])
+    share = toc.accuracy(ok, "doc", "correct").join(far_enough(ok, totals), "doc").filter("accuracy > 0.3").select("doc")
+    near = toc.correct_neighbours(ok.join(share, "doc").join(totals, "doc"), "physical_index", F.col("correct") == "no", 1, F.col("total"))
+    fits = near.filter("correct = 'no'").join(spots, ["doc", "pos"]).filter("spot between prev_correct and next_correct").groupBy("doc", "pos").agg(F.min("spot").alias("spot"))
+    return near.join(fits, ["doc", "pos"], "left").select("doc", "pos", "title", "level", F.coalesce("spot", "physical_index").alias("physical_index"))
+
+
+def far_enough(placed: DataFrame, totals: DataFrame) -> DataFrame:
+    """``doc``: the documents whose last entry is in their second half."""
+    return placed.groupBy("doc").agg(F.max_by("physical_index", "pos").alias("last")).join(totals, "doc").filter("2 * last >= total").select("doc")
+
+
+def by_titles(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """``doc, pos, title, level, physical_index``: each entry on the first page from its predecessor's on where its title stands."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, out = 0, []
+        for pos, rows in pdf.groupby("pos", sort=True):
+            later = [x for x in rows["physical_index"] if x >= at]
+            if later:
+                at = min(later)
+                out.append((pdf["doc"].iloc[0], pos, at))
+        return pd.DataFrame(out, columns=["doc", "pos", "physical_index"])
+
+    kind = seen.schema["doc"].dataType.simpleString()
+    found = seen.select("doc", "pos", "physical_index").groupBy("doc").applyInPandas(fold, f"doc {kind}, pos int, physical_index int")
+    return entries.select("doc", "pos", "title", "level").join(found, ["doc", "pos"])
+
+
+def page_index(pages: DataFrame, *, toc_pages: int = 20, completer: Callable[[pd.Series], pd.Series] = plugins.rule_completer) -> DataFrame:
     """``doc, pos, level, title, start_index, end_index, text`` from pages (doc, page_no, text), by rules alone.
 
     Contents pages are found and parsed; the offset between printed and physical pages is the most frequent difference
-    to where titles stand; entries are placed, deduplicated, given a preface, ends and text. Documents without usable
-    contents give one node per ten pages.
+    to where titles stand; entries are placed, checked and repaired (:func:`checked`), deduplicated, given a preface, ends
+    and text. Where too few are right, entries are placed by their titles alone. Documents without usable contents give
+    one node per ten pages. ``completer`` is asked whether a page is one of contents where the rules do not know: it gets
+    the text of the page and answers yes or no.
     """
     p = lines.strip_heads_and_feet(pages, "doc", "page_no", "text")
-    marked = p.withColumn("answer", F.coalesce(X.toc_page(F.col("text")), F.lit("no")))
+    marked = plugins.ask_if_unknown(p.withColumn("answer", X.toc_page(F.col("text"))), "answer", "text", completer)
     run = toc.toc_run(marked, "doc", "page_no", "answer", toc_pages)
     parsed = toc.parse_lines(run.withColumn("k", F.concat_ws("|", "doc", F.lpad(F.col("page_no").cast("string"), 8, "0"))), "k", "text")
     entries = parsed.select(F.substring_index("k", "|", 1).alias("doc"), F.concat("k", F.lpad(F.col("line_no").cast("string"), 6, "0")).alias("order"), "title", "page")
-    entries = entries.filter(X.is_heading(F.col("title"))).withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy("order")))
+    entries = entries.filter(X.is_heading(F.col("title"))).withColumn("level", X.title_level(F.col("title")) - 1).withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy("order")))
     body = p.join(run.select("doc", "page_no"), ["doc", "page_no"], "left_anti")
     # titles as they stand on pages: an equi-join on the document, checked by containment
     seen = entries.join(body.select("doc", F.col("page_no").alias("physical_index"), "text"), "doc").filter(F.contains(X.squeezed(F.col("text")), X.squeezed(F.col("title"))))
     offset = toc.page_offset(seen.select("doc", "pos", "page", "physical_index"), "doc", "pos")
     totals = pages.groupBy("doc").agg(F.max("page_no").cast("int").alias("total"))
-    placed = toc.apply_offset(entries.withColumn("level", X.title_level(F.col("title")) - 1), offset, "doc").join(totals, "doc").filter("physical_index between 1 and total").drop("total")
-    kept = toc.deduplicated(placed)
+    placed = toc.apply_offset(entries, offset, "doc").join(totals, "doc").filter("physical_index between 1 and total").drop("total")
+    held = cut(checked(placed.select("doc", "pos", "title", "level", "physical_index"), seen, totals))
+    again = held.select("doc").distinct()
+    alone = by_titles(entries.join(again, "doc", "left_anti"), seen.join(again, "doc", "left_anti"))
+    kept = toc.deduplicated(held.unionByName(alone.join(far_enough(alone, totals), "doc")))
     first = toc.with_preface(kept).join(kept.select("doc", "pos", "level"), ["doc", "pos"], "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn("appear_start", F.lit("yes"))
     ended = toc.section_ends(first, totals).select("doc", "pos", "level", "title", F.col("physical_index").cast("int").alias("start_index"), F.col("end_index").cast("int").alias("end_index"))
     other = totals.join(ended.select("doc").distinct(), "doc", "left_anti")

@@ -151,3 +151,24 @@ def test_very_large_nodes_are_cut_until_none_is_over_the_limits(spark):
     assert max(r["end_index"] - r["start_index"] + 1 for r in cut) <= 10
     assert sorted(p for r in cut for p in range(r["start_index"], r["end_index"] + 1)) == list(range(1, 1005))
     assert [(r["part"], r["start_index"], r["end_index"]) for r in cut if r["pos"] == 2] == [("", 1001, 1004)]
+
+
+def test_contents_are_checked_repaired_and_placed_by_titles(spark):
+    def book(doc, printed, at, total):
+        names = [f"第{c}章 {t}" for c, t in zip("一二三四", ("总则", "范围", "附加", "附则"))]
+        pages = [(doc, i, "续。") for i in range(3, total + 1) if i not in at]
+        pages += [(doc, a, f"{n}\n内容。") for n, a in zip(names, at)]
+        return [(doc, 1, "封面"), (doc, 2, "目录\n" + "\n".join(f"{n} ........ {p}" for n, p in zip(names, printed)))] + pages
+
+    rows = book("wrong", (1, 3, 3, 7), (3, 5, 7, 9), 10) + book("none", (1, 2, 3, 4), (3, 5, 7, 9), 10)
+    got = pipelines.page_index(spark.createDataFrame(rows, "doc string, page_no int, text string")).collect()
+    for doc in ("wrong", "none"):
+        assert sorted(r["start_index"] for r in got if r["doc"] == doc) == [1, 3, 5, 7, 9]
+
+
+def test_completer_is_asked_about_contents_pages(spark):
+    page = "第一章 总则 ........ 1\n第二章 范围 ........ 2"
+    rows = [("d", 1, "封面"), ("d", 2, page), ("d", 3, "第一章 总则\n内容。"), ("d", 4, "第二章 范围\n内容。")]
+    df = spark.createDataFrame(rows, "doc string, page_no int, text string")
+    asked = pipelines.page_index(df, completer=lambda s: s.map(lambda t: "yes" if "...." in t else "no")).collect()
+    assert sorted(r["start_index"] for r in asked) == [1, 3, 4]
