@@ -80,3 +80,31 @@ def test_repeated_rows_and_copies_leave_room_for_the_others(spark):
     df = spark.createDataFrame([rows[0]] + [(i, close[0]) for i in ids], "row_id long, embedding array<float>")
     top = neighbours.nearest(df, df.filter("row_id = 0"), "row_id", "embedding", 10, probes=32).collect()
     assert [r["neighbour"] for r in sorted(top, key=lambda r: r["rank"])] == list(range(100, 110))
+
+
+def test_comparisons_per_row_do_not_grow(spark):
+    rng = np.random.default_rng(5)
+    per_row = []
+    for n in (20_000, 320_000):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        bits = neighbours.key_bits(n)
+        keys = neighbours.Keys(64, 2, bits, max(2, bits // 6))
+        stored = np.bincount(keys.of(x, 0, 1)[:, 0], minlength=1 << bits)
+        per_row.append(stored[keys.of(x[:5000], 0, 2)].sum(axis=1).mean())
+    assert per_row[1] < 1.5 * per_row[0]
+    assert neighbours.probe_count(10**8) * neighbours.BUCKET < 0.001 * 10**8
+
+
+def test_equal_vectors_are_one_class(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 64)).astype(np.float32)
+    x[0:60:3] = x[0]  # a third of the rows
+    df = frame(spark, x)
+    pairs, members = neighbours.similar_classes(df, "row_id", "embedding", 0.9)
+    assert pairs.count() == 0 and sorted((r["id"], r["cls"]) for r in members.collect()) == [(i, 0) for i in range(3, 60, 3)]
+    got = {(r["a"], r["b"]) for r in neighbours.similar_pairs(df, "row_id", "embedding", 0.9).collect()}
+    assert got == brute(x, 0.9) and len(got) == 190
+    top = neighbours.nearest(df, df, "row_id", "embedding", 3, probes=64)
+    for q in (0, 3, 57):
+        assert [r["neighbour"] for r in top.filter(f"id = {q}").orderBy("rank").collect()] == [i for i in (0, 3, 6, 9) if i != q][:3]
+    assert top.count() == 180
