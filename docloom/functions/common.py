@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -37,10 +38,30 @@ def current_rows(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder of the session (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where the session has none, as in tests.
+    A session with a local master that names no folder gets a temporary one; on a cluster a machine's own folder would
+    be of no use to the other machines, so there the setting must be given.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint(eager=True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the checkpoints that these frames read, once what was made of them has a checkpoint of its own."""
+    seen = set()
+    for df in frames:
+        leaves = df._jdf.queryExecution().logical().collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if leaf.getClass().getSimpleName() != "LogicalRDD":
+                continue
+            file = leaf.rdd().getCheckpointFile()
+            if file.isDefined() and file.get() not in seen:
+                seen.add(file.get())
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

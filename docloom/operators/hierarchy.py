@@ -1,14 +1,18 @@
 """Parent-child rows to nested sets, full paths, roots, descendants and cycles.
 
 The tree is never walked level by level: pointers are doubled, so a tree of depth d takes log2(d) rounds of joins on
-(bigint, bigint) rows, whatever its shape.
+rows of numbers, whatever its shape. A round moves only rows that are still under way, and the nodes they point at: a node
+whose way up is known, and which nobody points at any more, is set aside.
 
 1. *Upward.* With ``anc`` the ancestor at distance 2^k and ``size`` the number of descendants nearer than 2^k,
    ``size'(v) = size(v) + sum of size(u) over anc(u) = v`` and ``anc'(v) = anc(anc(v))``. Depth and root come along.
-2. *Cycles.* A round that reaches no new node ends the loop; nodes not reached by then hang on a circle.
+2. *Cycles.* A round in which no row arrives ends the loop; rows under way by then hang on a circle.
 3. *Downward.* Siblings get preorder offsets from prefix sums over their subtree sizes (summed in salted groups first, so
    that a parent of millions is no single task); offsets are added up along the ancestors, again by doubling.
 4. Ancestors and descendants are read off the ranges ``[pre, last]``.
+
+Joins on ``anc`` are salted: rows are counted by a bounded number of hash groups, and a group that is large (one ancestor
+may have a third of all rows below it) is split in as many parts as it needs.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.functions.common import cut
+from docloom.functions.common import cut, release
 
 #: Preorder positions in one unit of work of :func:`with_paths`.
 BLOCK = 4096
 #: Rows that :func:`with_paths` hands on at once where a node gives several.
 ROWS = 50_000
+#: Hash groups that rows are counted by before a join on their ancestor, and rows in a part of a large group.
+GROUPS, PART_ROWS = 1024, 500_000
 #: What nested_sets adds; columns of the input with these names are replaced.
 RESULT = ("nid", "root_nid", "depth", "pre", "last", "on_cycle", "cycle_id")
 
@@ -43,93 +49,134 @@ def nested_sets(df: DataFrame, id_col: str, parent_col: str, *, salts: int = 32)
     """
     base = cut(df.drop(*[c for c in RESULT if c not in (id_col, parent_col)]).withColumn("nid", F.monotonically_increasing_id()))
     ids = base.select(F.col(id_col).alias("__pid"), F.col("nid").alias("par")).filter("__pid is not null")
-    links = base.select("nid", F.col(parent_col).alias("__pid")).join(ids, "__pid", "left").select("nid", "par")
-    links = cut(links)
-    size = _upward(links)
-    acyclic = size.filter("root is not null")
-    pre = _downward(links, acyclic, salts)
+    wanted = base.select("nid", F.col(parent_col).alias("__pid"))
+    counts = _counts(wanted.filter("__pid is not null"), "__pid")
+    links = _salted_join(wanted.filter("__pid is not null"), ids, "__pid", "nid", counts, PART_ROWS, how="left").select("nid", "par")
+    links = links.unionByName(wanted.filter("__pid is null").select("nid", F.lit(None).cast("long").alias("par")))
+    sized, lost, rounds = _upward(links)
+    pre = _downward(sized, rounds, salts)
+    release(sized)
     out = base.join(pre.withColumnRenamed("root", "root_nid"), "nid", "left")
-    loops = _cycles(links.join(acyclic, "nid", "left_anti"), base.select("nid", F.col(id_col).alias("id")))
+    loops = _cycles(lost, base.select("nid", F.col(id_col).alias("id"))) if lost is not None else None
     if loops is None:
-        return out.withColumn("on_cycle", F.lit(False)).withColumn("cycle_id", F.lit(None).cast("string"))
+        return out.withColumn("on_cycle", F.lit(False)).withColumn("cycle_id", F.lit(None).cast(df.schema[id_col].dataType))
     return out.join(loops, "nid", "left").withColumn("on_cycle", F.col("root_nid").isNull())
 
 
-def _upward(links: DataFrame) -> DataFrame:
-    """nid, root, depth, size; root is null for nodes that no round reaches."""
+def _group(col: str) -> F.Column:
+    return F.pmod(F.xxhash64(col), F.lit(GROUPS)).cast("int")
+
+
+def _counts(rows: DataFrame, key: str) -> dict[int, int]:
+    """Rows by hash group of the key: at most :data:`GROUPS` numbers, whatever the input."""
+    return {r["g"]: r["count"] for r in rows.groupBy(_group(key).alias("g")).count().collect()}
+
+
+def _salted_join(rows: DataFrame, heads: DataFrame, key: str, own: str, counts: dict[int, int], part_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``heads`` (one row per ``key``), hash groups of many rows split by a hash of ``own``."""
+    parts = {g: -(-n // part_rows) for g, n in counts.items() if n > part_rows}
+    if not parts:
+        return rows.join(heads, key, how)
+    table = F.array(*[F.lit(parts.get(g, 1)) for g in range(GROUPS)])
+    n = table[_group(key)]
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(own), n).cast("int"))
+    heads = heads.withColumn("__part", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.join(heads, [key, "__part"], how).drop("__part")
+
+
+def _upward(links: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame | None, list[dict[int, int]]]:
+    """(``nid, par, root, depth, size, tall`` of nodes in trees; ``nid, par`` of nodes that run into circles, if any; counts).
+
+    ``tall`` is the number of rounds in which some row points at the node; the counts are those of each round's joins.
+    """
     is_root = F.col("par").isNull()
-    state = links.select(
-        "nid",
-        F.col("par").alias("anc"),
-        F.lit(1).cast("long").alias("size"),
-        F.when(is_root, F.col("nid")).alias("root"),
-        F.when(is_root, F.lit(1)).cast("long").alias("depth"),
-    )
-    step = 1
-    left = None
-    while True:
-        added = state.filter("anc is not null").groupBy(F.col("anc").alias("nid")).agg(F.sum("size").alias("add"))
-        up = state.select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
-        state = cut(
-            state.join(up, "anc", "left")
-            .join(added, "nid", "left")
-            .select(
-                "nid",
-                F.col("anc2").alias("anc"),
-                (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"),
-                F.coalesce("root", "r2").alias("root"),
-                F.coalesce("depth", F.col("d2") + step).alias("depth"),
-            )
+    state = cut(
+        links.select(
+            "nid", "par", F.col("par").alias("anc"), F.lit(1).cast("long").alias("size"),
+            F.when(is_root, F.col("nid")).alias("root"), F.when(is_root, F.lit(1)).cast("long").alias("depth"), F.lit(False).alias("aside"),
         )
-        step *= 2
-        now = state.filter("root is null").count()
+    )
+    done: list[DataFrame] = []
+    rounds: list[dict[int, int]] = []
+    step, left = 1, None
+    while True:
+        counts = _counts(state.filter("anc is not null"), "anc")
+        now = sum(counts.values())
         if now == 0 or now == left:
-            return state.drop("anc")
+            break
+        rounds.append(counts)
         left = now
+        asked = state.filter("anc is not null").groupBy(F.col("anc").alias("nid")).agg(F.sum("size").alias("add"))
+        met = state.filter("not aside").join(asked, "nid", "left").withColumn("size", F.col("size") + F.coalesce("add", F.lit(0)))
+        heads = met.filter("add is not null").select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
+        going = _salted_join(met.filter("anc is not null").drop("add", "aside"), heads, "anc", "nid", counts, part_rows)
+        going = going.select("nid", "par", F.col("anc2").alias("anc"), "size", F.col("r2").alias("root"), (F.col("d2") + step).alias("depth"), F.lit(False).alias("aside"))
+        arrived = met.filter("anc is null").select("nid", "par", "anc", "size", "root", "depth", F.col("add").isNull().alias("aside"))
+        state = cut(going.unionByName(arrived))
+        # rows set aside are kept in this table; the others go on
+        done.append(state.filter("aside").withColumn("tall", F.lit(len(rounds) - 1)))
+        state = state.filter("not aside")
+        step *= 2
+    done.append(state.filter("anc is null").withColumn("tall", F.lit(len(rounds))))
+    all_done = done[0]
+    for d in done[1:]:
+        all_done = all_done.unionByName(d)
+    sized = cut(all_done.select("nid", "par", "root", "depth", "size", "tall"))
+    lost = cut(state.filter("anc is not null").select("nid", "par")) if left else None
+    release(*done)
+    return sized, lost if now else None, rounds
 
 
-def _downward(links: DataFrame, sized: DataFrame, salts: int) -> DataFrame:
+def _downward(sized: DataFrame, rounds: list[dict[int, int]], salts: int, part_rows: int = PART_ROWS) -> DataFrame:
     """nid, root, depth, pre, last of the nodes in trees."""
-    kids = sized.join(links, "nid").withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts)))
+    kids = sized.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts)))
     inner = Window.partitionBy("par", "salt").orderBy("nid").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("par").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = kids.filter("par is not null").groupBy("par", "salt").agg(F.sum("size").alias("total"))
+    below = kids.filter("par is not null")
+    groups = below.groupBy("par", "salt").agg(F.sum("size").alias("total"))
     groups = groups.withColumn("before", F.coalesce(F.sum("total").over(outer), F.lit(0))).drop("total")
     state = cut(
-        kids.filter("par is not null")
-        .withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+        below.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         .join(groups, ["par", "salt"])
-        .select("nid", F.col("par").alias("anc"), "size", "root", "depth", (F.col("before") + F.col("within") + 1).alias("pre"))
-        .unionByName(kids.filter("par is null").select("nid", F.col("par").alias("anc"), "size", "root", "depth", F.lit(0).cast("long").alias("pre")))
+        .select("nid", F.col("par").alias("anc"), (F.col("before") + F.col("within") + 1).alias("pre"), "tall")
+        .unionByName(kids.filter("par is null").select("nid", F.col("par").alias("anc"), F.lit(0).cast("long").alias("pre"), "tall"))
     )
-    while state.filter("anc is not null").limit(1).count():
-        up = state.select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("pre").alias("p2"))
-        state = cut(state.join(up, "anc", "left").select("nid", F.col("anc2").alias("anc"), "size", "root", "depth", (F.col("pre") + F.coalesce("p2", F.lit(0))).alias("pre")))
-    return state.select("nid", "root", "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
+    done: list[DataFrame] = []
+    for k, counts in enumerate(rounds):
+        # rows point at the same ancestors as in round k upward: what is in no later round is not asked for
+        done.append(state.filter(f"anc is null and tall <= {k}").select("nid", "pre"))
+        heads = state.filter(f"tall > {k}").select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("pre").alias("p2"))
+        going = _salted_join(state.filter("anc is not null"), heads, "anc", "nid", counts, part_rows)
+        going = going.select("nid", F.col("anc2").alias("anc"), (F.col("pre") + F.col("p2")).alias("pre"), "tall")
+        state = cut(going.unionByName(state.filter(f"anc is null and tall > {k}")))
+    done.append(state.select("nid", "pre"))
+    pre = done[0]
+    for d in done[1:]:
+        pre = pre.unionByName(d)
+    out = cut(sized.join(pre, "nid").select("nid", "root", "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("last")))
+    release(*done)
+    return out
 
 
-def _cycles(links: DataFrame, ids: DataFrame) -> DataFrame | None:
+def _cycles(links: DataFrame, ids: DataFrame, part_rows: int = PART_ROWS) -> DataFrame | None:
     """nid, cycle_id of the nodes that run into a circle; None if there are none.
 
     f^(2^k) is followed until its image no longer shrinks (then the image is the circles) and no minimum over 2^k steps
     changes on doubling (then each is the minimum of its circle).
     """
-    state = cut(links.join(ids, "nid").select("nid", F.col("par").alias("anc"), F.col("id").alias("low")))
-    if state.limit(1).count() == 0:
-        return None
-    image = state.select("anc").distinct().count()
-    while True:
+    state = cut(links.join(ids, "nid").select("nid", F.col("par").alias("anc"), F.col("id").alias("low"), F.lit(True).alias("changed")))
+    groups = lambda: state.groupBy(_group("anc").alias("g")).agg(F.count("*").alias("n"), F.count_distinct("anc").alias("image"), F.max("changed").alias("changed")).collect()
+    image, now = None, groups()
+    while now:
+        if image == sum(r["image"] for r in now) and not any(r["changed"] for r in now):
+            low = state.select(F.col("nid").alias("anc"), F.col("low").alias("cycle_id"))
+            return _salted_join(state.select("nid", "anc"), low, "anc", "nid", {r["g"]: r["n"] for r in now}, part_rows).select("nid", "cycle_id")
+        image = sum(r["image"] for r in now)
         up = state.select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
-        state = cut(
-            state.join(up, "anc").select("nid", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed"))
-        )
-        now = state.agg(F.count_distinct("anc").alias("image"), F.max(F.col("changed").cast("int")).alias("changed")).first()
-        if now["image"] == image and not now["changed"]:
-            break
-        image = now["image"]
-        state = state.drop("changed")
-    low = state.select(F.col("nid").alias("anc"), F.col("low").alias("cycle_id"))
-    return state.select("nid", "anc").join(low, "anc").select("nid", "cycle_id")
+        met = _salted_join(state.drop("changed"), up, "anc", "nid", {r["g"]: r["n"] for r in now}, part_rows)
+        state = cut(met.select("nid", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
+        now = groups()
+    return None
 
 
 def with_paths(

@@ -70,3 +70,12 @@ def test_descendants_of_every_node(spark):
     got = sorted((r["ancestor"], r["descendant"], r["distance"]) for r in hierarchy.all_descendants(tree, "id", block=16).collect())
     assert got == sorted((a, p[-1], len(p) - 1 - i) for p in paths.values() for i, a in enumerate(p[:-1]))
     assert len({a for a, _, _ in got}) == 40
+
+
+def test_hot_root_is_split(spark, monkeypatch):
+    """More than a third of the rows hang on one root, and a circle has many tails: parts of groups give the same trees."""
+    rows = [("r", None)] + [(f"c{i}", "r") for i in range(60)] + [(f"g{i}", f"c{i % 60}") for i in range(60)]
+    rows += [("x", "y"), ("y", "x")] + [(f"t{i}", "x") for i in range(40)]
+    plain = hierarchy._salted_join
+    monkeypatch.setattr(hierarchy, "_salted_join", lambda *a, **k: plain(*a[:5], 7, **k))
+    check(spark, rows)
