@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as X
 from docloom.functions.common import strip
+from docloom.functions.spans import spans
 
 
 def windows(text: Column, size: int = 1500, overlap: int = 150) -> Column:
@@ -119,21 +120,11 @@ def page_groups(pages: DataFrame, doc: str, no: str, tokens: str, most: int = 40
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
-        nos, sizes, key = pdf["no"].tolist(), pdf["tokens"].tolist(), pdf["doc"].iloc[0]
-        total = sum(sizes)
-        out: list[list[int]] = [[]]
-        if total <= most:
-            out = [list(range(len(nos)))]
-        else:
-            share = math.ceil((total / math.ceil(total / most) + most) / 2)
-            now = 0
-            for i, n in enumerate(sizes):
-                if now + n > share:
-                    out.append(list(range(max(i - overlap, 0), i)))
-                    now = sum(sizes[j] for j in out[-1])
-                out[-1].append(i)
-                now += n
-        rows = [(key, g, nos[m[0]] if m else -1, nos[m[-1]] if m else -1, len(m), sum(sizes[j] for j in m)) for g, m in enumerate(out)]
+        nos, sizes, key = pdf["no"].tolist(), pdf["tokens"].to_numpy(), pdf["doc"].iloc[0]
+        total = int(sizes.sum())
+        parts = math.ceil(total / most)
+        share = total if total <= most else math.ceil((total / parts + most) / 2)
+        rows = [(key, g, nos[a] if b > a else -1, nos[b - 1] if b > a else -1, b - a, int(sizes[a:b].sum())) for g, (a, b) in enumerate(spans(sizes, share, overlap, first_may_be_empty=True))]
         return pd.DataFrame(rows, columns=["doc", "group_no", "first", "last", "pages", "tokens"])
 
     kind = pages.schema[doc].dataType.simpleString()

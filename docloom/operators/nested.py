@@ -1,7 +1,7 @@
 """Deeply nested JSON records to related flat tables.
 
-Each record is read once by an iterative scanner (no recursion, so depth is no limit) into triples
-``(path, value, ordinal)``. Paths are grouped by their nearest repeated ancestor: every array of objects is a table of
+Each record is stream-parsed by an iterative scanner (no recursion, so depth is no limit; what is held is the way down to
+the place of reading) into triples ``(path, value, ordinal)``. Paths are grouped by their nearest repeated ancestor: every array of objects is a table of
 its own, ``structure`` and all ``nodes`` below it are one recursive table ``node``, and what is not repeated belongs to
 the table above it under a dotted path. :func:`pivot` turns the triples of one group into a flat table.
 """
@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys under which a service reply may hold the record itself.
-WRAPPERS = ("result", "data", "payload", "response", "document", "record", "body")
 #: Pseudo path: one triple per row of a table, whose value is the row number of the parent (-1 at the top).
 PARENT = "@parent"
 
@@ -111,45 +109,78 @@ def unwrap(text: str) -> str:
         if fence := _FENCE.match(text):
             text = fence[1]
         elif text[:1] == '"':
-            got = list(events(text))
-            text = got[0][1]
+            ((_, text),) = events(text)
         else:
             return text
 
 
-def triples(text: str | None, root: str = "structure", children: str = "nodes", table_name: str = "node") -> list[Triple]:
+def triples(text: str | None, root: str = "structure", children: str = "nodes", table_name: str = "node", *, bare: bool = False) -> Iterator[Triple]:
     """(table, row, parent table, parent row, path, ordinal, value) of one record, or nothing if it is damaged.
 
     Rows of a table are numbered from 0 in document order, a node before its children. Path :data:`PARENT` stands once
     per row. Objects under ``root`` of the record and under ``children`` of a node are rows of ``table_name``; one
     object in place of a list counts as a list of one; nulls and other values there are none. The record is the
-    outermost object, or the object under one of :data:`WRAPPERS` if that has no ``root``.
+    outermost object that has ``root``, under whatever keys and lists it is wrapped (of several equally far in, the first;
+    all elements of a list count). With ``bare`` a document without ``root`` may also be a list of nodes, or have
+    ``children`` in its place. Triples come as they are read: what is held is the way down to the place of reading.
     """
     if text is None:
-        return []
+        return
     try:
-        return _triples(unwrap(text), root, children, table_name)
+        text = unwrap(text)
+        for _ in events(text):  # a damaged record gives no triple, also before the place of the damage
+            pass
     except Damaged:
-        return []
+        return
+    spot = _locate(text, root)
+    if spot is None and bare:
+        if text[:1] != "[" and _locate(text, children) == ():
+            root, spot = children, ()
+        elif text[:1] == "[":
+            yield from _triples(text, (), root, children, table_name, "list")
+            return
+    yield from _triples(text, spot or (), root, children, table_name, "top")
+
 
+def _locate(text: str, key: str) -> tuple[str | None, ...] | None:
+    """Keys (None: any element of a list) that lead to the outermost object with ``key`` over an object or a list."""
+    best: tuple[str | None, ...] | None = None
+    way: list[str | None] = []  # the key, or None in a list, that each open bracket but the first stands under
+    opened: list[str] = []
+    last, armed = None, False
+    for kind, value in events(text):
+        if kind == "key":
+            last, armed = value, value == key
+            continue
+        if kind in ("{", "["):
+            if armed and opened[-1] == "{":
+                best = tuple(way) if best is None or len(way) < len(best) else best
+                if not way:
+                    return best
+            if opened:
+                way.append(last if opened[-1] == "{" else None)
+            opened.append(kind)
+        elif kind in ("}", "]"):
+            opened.pop()
+            if way:
+                way.pop()
+        armed = False
+    return best
 
-def _triples(text: str, root: str, children: str, table_name: str) -> list[Triple]:
-    seen = list(events(text))
-    wrapped = not _has_key(seen, root)
-    out: list[Triple] = [("record", 0, "", -1, PARENT, 0, "-1")]
+
+def _triples(text: str, spot: tuple[str | None, ...], root: str, children: str, table_name: str, outer: str) -> Iterator[Triple]:
+    yield ("record", 0, "", -1, PARENT, 0, "-1")
     count: dict[str, int] = {}
     # A frame: [bracket, table, row, path within the row, role, elements so far]
-    # Roles: top (may hold root), list (of nodes), node, field, other (no nodes and no fields).
+    # Roles: top (on the way to the record, or the record), list (of nodes), node, field, other (no nodes and no fields).
     frames: list[list] = []
     key = ""
 
-    def open_row(table: str, parent_table: str, parent_row: int) -> int:
-        row = count.get(table, 0)
-        count[table] = row + 1
-        out.append((table, row, parent_table, parent_row, PARENT, 0, str(parent_row)))
-        return row
+    def next_row(table: str) -> int:
+        count[table] = count.get(table, -1) + 1
+        return count[table]
 
-    for kind, value in seen:
+    for kind, value in events(text):
         if kind == "key":
             key = value
             continue
@@ -158,51 +189,42 @@ def _triples(text: str, root: str, children: str, table_name: str) -> list[Tripl
             continue
         if not frames:
             if kind != "value":
-                frames.append([kind, "record", 0, "", "top", 0])
+                frames.append([kind, "record", 0, "", outer, 0])
             continue
         bracket, table, row, path, role, ordinal = top = frames[-1]
         in_list = bracket == "["
         name = path if in_list else f"{path}.{key}" if path else key
         top[5] += in_list
-        nodes = not in_list and (role == "top" and key == root or role == "node" and key == children)
+        here = role == "top" and len(frames) == len(spot) + 1
+        nodes = not in_list and (here and key == root or role == "node" and key == children)
         if kind == "value":
             if not nodes and role not in ("list", "other"):
-                out.append((table, row, "", -1, name, ordinal, None if value is None else str(value)))
+                yield (table, row, "", -1, name, ordinal, None if value is None else str(value))
         elif nodes and kind == "[":
             frames.append(["[", table, row, "", "list", 0])
         elif nodes or role == "list" and kind == "{":
             parent = row if table == table_name else -1
-            frames.append(["{", table_name, open_row(table_name, table, parent), "", "node", 0])
+            own = next_row(table_name)
+            yield (table_name, own, table, parent, PARENT, 0, str(parent))
+            frames.append(["{", table_name, own, "", "node", 0])
         elif role in ("list", "other"):
             frames.append([kind, table, row, "", "other", 0])
-        elif role == "top" and wrapped and kind == "{" and (in_list or key in WRAPPERS):
-            frames.append(["{", table, row, "", "top", 0])
+        elif role == "top" and not here and spot[len(frames) - 1] == (None if in_list else key):
+            frames.append([kind, table, row, "", "top", 0])
         elif kind == "{" and in_list and path:
             inner = path if table == "record" else f"{table}.{path}"
-            frames.append(["{", inner, open_row(inner, table, row), "", "field", 0])
+            own = next_row(inner)
+            yield (inner, own, table, row, PARENT, 0, str(row))
+            frames.append(["{", inner, own, "", "field", 0])
         else:
             frames.append([kind, table, row, name, "field", 0])
-    return out
-
-
-def _has_key(seen: list[tuple[str, object]], key: str) -> bool:
-    """Whether the outermost object has the key."""
-    depth = 0
-    for kind, value in seen:
-        if kind in ("{", "["):
-            depth += 1
-        elif kind in ("}", "]"):
-            depth -= 1
-        elif kind == "key" and depth == 1 and value == key:
-            return True
-    return False
 
 
-def shred(df: DataFrame, key: str, payload: str, *, tables: Sequence[str] | None = None, paths: Sequence[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, key: str, payload: str, *, tables: Sequence[str] | None = None, paths: Sequence[str] | None = None, bare: bool = False) -> DataFrame:
     """Triples of each row's JSON text: ``key, table, row, parent_table, parent_row, path, ordinal, value``.
 
     Only ``key`` and ``payload`` of ``df`` are read, so other columns may have any name. ``tables`` and ``paths`` keep
-    only those, inside the scan. Null, empty and damaged texts give no rows; a row that is repeated gives its triples
+    only those, inside the scan; ``bare`` is that of :func:`triples`. Null, empty and damaged texts give no rows; a row that is repeated gives its triples
     each time. No shuffle: a record is read by the task that scans it.
     """
     key_type = df.schema[key].dataType
@@ -214,10 +236,12 @@ def shred(df: DataFrame, key: str, payload: str, *, tables: Sequence[str] | None
         for pdf in batches:
             rows: list[tuple] = []
             for k, text in zip(pdf["key"], pdf["payload"]):
-                rows += [(k, *t) for t in triples(text) if (want_t is None or t[0] in want_t) and (want_p is None or t[4] in want_p)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                for t in triples(text, bare=bare):
+                    if (want_t is None or t[0] in want_t) and (want_p is None or t[4] in want_p):
+                        rows.append((k, *t))
+                        if len(rows) >= 50_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).filter("key is not null and payload is not null").mapInPandas(run, schema)

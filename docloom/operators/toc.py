@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,18 +128,22 @@ def accuracy(entries: DataFrame, doc: str, correct: str) -> DataFrame:
 
 def increasing_pages(values: list[int], n: int) -> list[int]:
     """The last ``n`` values if they increase, else the longest greedy increasing run from any start, its first ``n``."""
-    tail = values[-n:] if n else []
-    if len(tail) == n and all(a < b for a, b in zip(tail, tail[1:])):
-        return tail
-    best: list[int] = []
-    for i in range(len(values)):
-        run = [values[i]]
-        for v in values[i + 1 :]:
-            if v > run[-1]:
-                run.append(v)
-        if len(run) > len(best):
-            best = run
-    return best[:n]
+    v = np.asarray(values, dtype=np.int64)
+    if n <= len(v) and (np.diff(v[len(v) - n :]) > 0).all():
+        return v[len(v) - n :].tolist()
+    # a greedy run goes from each value to the next larger one: lengths come from the back, with a stack of larger values
+    after, length, larger = np.full(len(v), -1), np.ones(len(v), dtype=np.int64), []
+    for i in range(len(v) - 1, -1, -1):
+        while larger and v[larger[-1]] <= v[i]:
+            larger.pop()
+        if larger:
+            after[i], length[i] = larger[-1], length[larger[-1]] + 1
+        larger.append(i)
+    run, at = [], int(length.argmax())
+    while at >= 0 and len(run) < n:
+        run.append(int(v[at]))
+        at = int(after[at])
+    return run
 
 
 def best_sequences(df: DataFrame, doc: str, pos: str, value: str, n: str) -> DataFrame:

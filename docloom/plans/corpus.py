@@ -20,8 +20,8 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per node of every readable current record."""
-    rows = nested.shred(_trees(spark, sf_dir), "tree_id", "payload", tables=["node"], paths=[nested.PARENT])
+    """One row per node of every readable current record: the links of the pivoted node table."""
+    rows = nested.pivot(nested.shred(_trees(spark, sf_dir), "tree_id", "payload", tables=["node"], paths=[nested.PARENT]), "node", [])
     return rows.select(F.col("key").alias("tree_id"), F.col("row").alias("node_pos"), F.col("parent_row").alias("parent_pos"))
 
 

@@ -37,7 +37,8 @@ def test_nodes_of_any_record(record, indent):
     assert found(text) == want
     assert found(json.dumps(text)) == want  # quoted
     assert found("﻿ " + text + "\n") == want
-    assert found(json.dumps({"result": record, "code": 0})) == want
+    if isinstance(record["structure"], (dict, list)):
+        assert found(json.dumps({"any name": {"x": [record]}, "code": 0, "meta": {"y": {"z": {"structure": [{}]}}}})) == want
     assert found("```json\n" + text + "\n```") == want
     assert found(text[:-1]) == []  # cut off
     assert found(text + "x") == []
@@ -46,7 +47,7 @@ def test_nodes_of_any_record(record, indent):
 def test_other_fields_and_depth():
     text = '{"structure": {"title": "a", "meta": {"boxes": [{"x0": 1, "tags": [{"title": "b"}]}], "lang": "zh"}, "text": "{\\"nodes\\": [{}]}", "nodes": [null, "s", [{"y": 1}], {"title": null}]}, "meta": {"structure": [{}]}}'
     assert found(text) == [(0, -1), (1, 0)]
-    t = nested.triples(text)
+    t = list(nested.triples(text))
     assert ("node.meta.boxes", 0, "node", 0, nested.PARENT, 0, "0") in t
     assert ("node.meta.boxes.tags", 0, "", -1, "title", 0, "b") in t
     assert ("node", 0, "", -1, "meta.lang", 0, "zh") in t
@@ -63,3 +64,20 @@ def test_tables(spark):
     assert sorted(map(tuple, flat.collect())) == [(1, 0, -1, "a", None), (1, 1, 0, "b", None), (1, 2, 0, None, "t")]
     assert nested.shred(df.limit(0), "id", "payload").count() == 0
     assert nested.shred(df, "id", "payload", tables=["record"], paths=["doc_name"]).collect()[0]["value"] == "d"
+
+
+def test_documents_without_structure():
+    bare = lambda text: [(t[1], int(t[6])) for t in nested.triples(text, bare=True) if t[0] == "node" and t[4] == nested.PARENT]
+    for text in ('[{"title": "a", "nodes": [{"title": "b"}]}, null, {"title": "c"}]', '{"doc_name": "d", "nodes": [{"title": "a", "nodes": {"title": "b"}}, {"title": "c"}]}'):
+        assert bare(text) == [(0, -1), (1, 0), (2, -1)]
+        assert found(text) == []
+    assert bare('{"structure": [{}], "nodes": [{}, {}]}') == [(0, -1)]
+    assert bare('[{"structure": [{}]}]') == [(0, -1)]
+
+
+def test_a_record_is_not_held():
+    """Triples come before the record has been read to its end."""
+    text = json.dumps({"structure": [{"title": str(i)} for i in range(20_000)]})
+    it = nested.triples(text)
+    assert [next(it)[0] for _ in range(3)] == ["record", "node", "node"]
+    assert sum(t[4] == nested.PARENT for t in it) == 19_999
