@@ -139,7 +139,7 @@ def increasing_pages(values: list[int], n: int) -> list[int]:
         if larger:
             after[i], length[i] = larger[-1], length[larger[-1]] + 1
         larger.append(i)
-    run, at = [], int(length.argmax())
+    run, at = [], int(length.argmax()) if len(v) else -1
     while at >= 0 and len(run) < n:
         run.append(int(v[at]))
         at = int(after[at])
@@ -171,7 +171,6 @@ def parse_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def fuzzy_in_page(titles: pd.Series, pages: pd.Series) -> pd.Series:
     """``yes``, ``no`` or None: whether a title stands in a page but for one character in seven."""
-    import numpy as np
 
     out: list[str | None] = []
     for t, p in zip(titles, pages):
