@@ -1,37 +1,53 @@
 """Text of scanned pages: lines of the page layout, divided words and misread characters.
 
-Four passes, none of which gathers a document in one task:
-
-1. A document counts as scanned if no line of its current nodes is longer than a printed line and lines are wrapped.
-2. Lines at the edges of its nodes are brought to a form in which look-alike characters are equal; forms that come back
-   are its running heads, and the kinds of page number that come back are its page numbers.
-3. Corpus counts over all rows: words, and for scripts without spaces characters and pairs of characters around those
-   that have look-alikes. The most frequent words, a bounded number, are the language model, and are broadcast.
-4. Every line is labelled and repaired. Divided words are joined as the counts of the joined word and of the compound
-   with its hyphen say. Misread characters are found by a noisy channel: candidate readings of a word come from a table
-   of confusions, the likelihood of a reading is its confusion odds times its corpus count, and for running characters
-   a Viterbi pass over the candidates at each place uses the pair counts.
+None of the passes gathers a document in one task:
+
+1. A document counts as scanned if hardly any line of its current nodes is longer than a printed line and lines are wrapped.
+2. Lines at the edges of its nodes, or beside page numbers within them, are brought to a form in which look-alike
+   characters are equal; forms that come back are its running heads, and the kinds of page number that come back are its page numbers.
+3. Corpus counts over all rows: words and pairs of neighbouring words, and for scripts without spaces characters and pairs
+   of characters around those that have look-alikes. They stay distributed.
+4. The vocabulary of scanned documents is joined with the counts: for each word its candidate readings by one confusion, and
+   for rare words that none explains by two. How often each confusion happens is learned from these, as errors over
+   occurrences of what was written.
+5. Each node asks for the readings of its words and for the counts of the word pairs they may form; the answers are
+   joined to it by key. Only what is bounded is broadcast: counts of words and pairs that make up a given share of the
+   corpus, bit sets of fixed size that say what is worth asking for, and characters.
+6. Every line is decoded as a noisy channel: confusion probabilities times n-gram likelihood, by Viterbi over the candidate
+   words of the line. Running characters are decoded likewise over pair counts. Divided words are joined as the counts of the
+   joined word and of the compound with its hyphen say.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.common import current_rows, cut
+from docloom.functions.common import current_rows, cut, release
 
 #: Longest line that can be a printed line.
 LINE = 100
-#: Words in the language model; with the characters of a script and their pairs this bounds what is broadcast.
-WORDS = 200_000
-#: Odds of a misread word or character against a rightly read one, before the counts are seen.
-WORD_ODDS, LETTER_ODDS = 0.15, 0.3
+#: Share of a document's lines that may be longer, and of a node's.
+LONG_LINES, LONG_IN_NODE = 0.02, 0.5
+#: Words and pairs of words that make up at least this share of the corpus have their counts broadcast: at most 1 / share each.
+FREQUENT = 1e-5
+#: Bits of the sets that say which words have readings, and which are readings.
+BITS = 1 << 22
+#: Odds of a misread word or character against a rightly read one before the counts are seen; how far the learned
+#: probability of a confusion may move them, and what neighbours on each side may.
+WORD_ODDS, LETTER_ODDS, MOVE, CONTEXT = 0.15, 0.3, 3.0, 6.0
+#: A word seen less often may be read with two confusions; a reading of a word of letters alone is seen so often at least.
+RARE, LEAST = 5, 5
+#: Pseudo-count of pairs of words.
+SMOOTH = 3.0
 #: What is read, and what may have been written.
 CONFUSED = {
     "c": ("e",), "0": ("o",), "!": ("i", "l"), "5": ("s",), "@": ("a",), "1": ("l", "i"), "9": ("g",), "b": ("h", "ß"), "8": ("b",), "6": ("b",), "$": ("s",), "|": ("l", "i"),
@@ -39,6 +55,7 @@ CONFUSED = {
 }
 #: Groups of characters that are taken for one another.
 LOOK_ALIKE = ("的旳", "航舫", "目日曰", "页贞", "人入八", "年牟", "于千干", "本木", "土士", "处外", "未末", "已己巳", "大犬太", "天夫", "今令", "王玉", "问间", "折拆", "贝见", "白自", "治冶", "代伐", "线钱", "侯候", "晴睛", "拨拔", "辨辩", "免兔", "戊戌戍", "住佳", "鸟乌", "田由甲", "ロ口", "ソン", "シツ", "カ力")
+PAIRS = [(read, w) for read, written in CONFUSED.items() for w in written]
 LIKE = {c: [x for x in group if x != c] for group in LOOK_ALIKE for c in group}
 #: Words that head the figures of a table.
 TOTALS = {"total", "summe", "合计", "sum", "合計", "小计"}
@@ -57,6 +74,9 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "!": "l", "i": "l", "|": "l", "5": "s
 _FOLD_PAIRS = (("rn", "m"), ("nn", "m"), ("el", "d"), ("vv", "w"), ("tl", "h"), ("ll", "h"), ("rl", "n"))
 
 
+_BLANKS = re.compile(r"\s{3,}")
+
+
 def fold(text: str) -> str:
     """A form in which characters and pairs of characters that are taken for one another are equal."""
     s = "".join(text.casefold().replace("ss", "s").translate(_FOLD).split())
@@ -75,12 +95,8 @@ def shape(line: str) -> str | None:
     Kinds that begin with ``~`` are any short line with a number in it: page numbers only where they come back on page
     after page.
     """
-    s = line.strip()
-    if len(s) > 32:
-        return None
-    s = _SPACED.sub(r" \1 ", s)
-    tokens = s.split()
-    if not 0 < len(tokens) <= 7:
+    tokens = _SPACED.sub(r" \1 ", line).split()
+    if not 0 < len(tokens) <= 7 or max(map(len, tokens)) > 20:  # no kind has longer or more words
         return None
     out = []
     for i, t in enumerate(tokens):
@@ -101,7 +117,7 @@ def shape(line: str) -> str | None:
 
 def head_form(line: str) -> str | None:
     """The folded form of what may be a running head, without a page number at either end; None if it is too short."""
-    s = line.strip()
+    s = _BLANKS.sub("  ", line.strip())
     s = re.sub(r"^[0-9lIoO|!ivxIVX]{1,6}\s{2,}|\s{2,}[0-9lIoO|!ivxIVX]{1,6}$", "", s)
     form = fold(s)
     wide = len(_WIDE.findall(s))
@@ -127,65 +143,103 @@ def _same(form: str, known: str) -> bool:
     return head + tail >= len(b) - most
 
 
+def candidates(word: str, edits: int = 1) -> Iterator[tuple[str, tuple[int, ...]]]:
+    """(reading, confusions by number in :data:`PAIRS`) of a word, all of letters, that differ by so many confusions."""
+    seen = {word}
+    level: dict[str, tuple[int, ...]] = {word: ()}
+    for k in range(edits):
+        made: dict[str, tuple[int, ...]] = {}
+        for form, used in level.items():
+            for number, (read, written) in enumerate(PAIRS):
+                at = form.find(read)
+                while at >= 0:
+                    other = form[:at] + written + form[at + len(read) :]
+                    if other not in seen and other not in made:
+                        made[other] = (*used, number)
+                    at = form.find(read, at + 1)
+        seen.update(made)
+        level = made
+    yield from ((form, used) for form, used in level.items() if form.isalpha())
+
+
+def bit(key: str) -> int:
+    return zlib.crc32(key.encode()) % BITS
+
+
 class Model:
-    """Corpus counts and the decisions that rest on them."""
+    """Counts of characters, of frequent words and pairs, of what one node asked for; and the decisions that rest on them.
+
+    ``words``: "w" + word and "b" + word + " " + word to counts; "r" + word to (count, [(reading, count, confusions)]).
+    ``odds``: of each confusion, by its number.
+    """
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int]):
+    def __init__(self, words: dict[str, object], pairs: dict[str, int], odds: list[float] | None = None, total: int = 1):
         self.words, self.pairs = words, pairs
+        self.odds = odds or [WORD_ODDS] * len(PAIRS)
         self.total = max(1, sum(v for k, v in pairs.items() if len(k) == 1))
-        self.known: dict[str, tuple[int, str] | None] = {}
-
-    def readings(self, word: str) -> list[tuple[str, int, int]]:
-        """(reading, where it differs, count) of a word by one confusion."""
-        out = []
-        for read, written in CONFUSED.items():
-            at = word.find(read)
-            while at >= 0:
-                for w in written:
-                    other = word[:at] + w + word[at + len(read) :]
-                    n = self.words.get(other, 0)
-                    if n:
-                        out.append((other, at, n))
-                at = word.find(read, at + 1)
+        self.all_words = max(1, total)
+        self.asked: dict[str, object] = {}
+
+    def get(self, key: str):
+        return self.asked.get(key) or self.words.get(key)
+
+    def readings(self, word: str) -> list[tuple[str, float]]:
+        """(form, log of odds times count) of a word: itself first."""
+        own, found = self.get("r" + word) or (0, ())
+        out = [(word, math.log(max(own, 0.1)))]
+        mixed = not word.isalpha()
+        for reading, n, used in found:
+            out.append((reading, math.log(n) + (0.0 if mixed else sum(math.log(self.odds[i]) for i in used))))
         return out
 
-    def misread(self, token: str) -> tuple[int, str] | None:
-        """Where a word was misread, and the likely reading."""
-        if token in self.known:
-            return self.known[token]
-        got = None
-        word = token.lower()
-        if len(word) > 1 and not word.isdigit():
-            mixed = not word.isalpha()
-            readings = self.readings(word)
-            if readings:
-                best = max(readings, key=lambda r: (r[2], r[0]))
-                own = self.words.get(word, 0)
-                odds = 1.0 if mixed else WORD_ODDS
-                if best[2] * odds > own and best[2] >= (1 if mixed else 5) and (not mixed or not word.endswith("!")):
-                    if not mixed or any(c.isalpha() for c in best[0]) and best[0].isalpha():
-                        got = (best[1], _case(token, best[0]))
-        if len(self.known) < 500_000:
-            self.known[token] = got
-        return got
-
-    def joined(self, left: str, right: str) -> tuple[str | None, tuple[int, str] | None]:
-        """("join" | "keep", misreading in the joined word): how a word divided at a line end is put together."""
+    def misread(self, token: str) -> str | None:
+        """The likely reading of a word that stands alone, if it was misread."""
+        states = self.readings(token.lower())
+        best = max(states, key=lambda s: (s[1], s[0]))
+        return _case(token, best[0]) if best[1] > states[0][1] else None
+
+    def lift(self, a: str, b: str, less: int) -> float:
+        """Log of how much more often the words stand side by side than by chance; ``less`` own occurrences do not count."""
+        together = max(0, (self.get(f"b{a} {b}") or 0) - less)
+        chance = (self.get("w" + a) or 0) * (self.get("w" + b) or 0) / self.all_words
+        most = math.log(CONTEXT)
+        return min(most, max(-most, math.log((together + SMOOTH) / (chance + SMOOTH))))
+
+    def line(self, tokens: list[str], beside: Counter) -> list[str | None]:
+        """The likely reading of each token of a line, or None where it was read rightly: Viterbi over candidate words.
+
+        ``beside`` has how often words stand side by side in this text: what a misread word stands beside is no
+        evidence for it (each text may have been counted twice).
+        """
+        low = [x.lower() for x in tokens]
+        states = [self.readings(x) for x in low]
+        if all(len(s) == 1 for s in states):
+            return [None] * len(tokens)
+        paths: list[tuple[float, tuple[str, ...]]] = [(score, (form,)) for form, score in states[0]]
+        for i in range(1, len(low)):
+            if len(states[i]) == len(states[i - 1]) == 1:  # nothing to choose between
+                paths = [(s, (*p, low[i])) for s, p in paths]
+                continue
+            own = 2 * beside[low[i - 1], low[i]]
+            step = []
+            for form, score in states[i]:
+                s, p = max(((s + self.lift(p[-1], form, own if (p[-1], form) == (low[i - 1], low[i]) else 0), p) for s, p in paths), key=lambda x: x[0])
+                step.append((s + score, (*p, form)))
+            paths = step
+        best = max(paths, key=lambda x: x[0])[1]
+        return [None if form == word else _case(token, form) for token, word, form in zip(tokens, low, best)]
+
+    def joined(self, left: str, right: str) -> tuple[str, str | None]:
+        """("join" | "keep", likely reading of the joined word if it was misread) of a word divided at a line end."""
         low_l, low_r = left.lower(), right.lower()
         part = low_l.rsplit("-", 1)[-1]
-        join = max(self.words.get(low_l + low_r, 0), self.words.get(part + low_r, 0) if "-" in low_l else 0)
-        keep = max(self.words.get(f"{low_l}-{low_r}", 0), self.words.get(f"{part}-{low_r}", 0))
+        count = lambda w: (self.get("r" + w) or (0,))[0]
+        join = max(count(low_l + low_r), count(part + low_r))
+        keep = max(count(f"{low_l}-{low_r}"), count(f"{part}-{low_r}"))
         if not join and not keep:
-            miss_join, miss_keep = self.misread(part + low_r), None
-            for side, text in ((0, part), (1, low_r)):
-                found = self.misread(text)
-                if found:
-                    other = f"{found[1]}-{low_r}" if side == 0 else f"{part}-{found[1]}"
-                    if self.words.get(other.lower(), 0):
-                        miss_keep = found
-            if miss_keep and not miss_join:
-                return "keep", None
-            return "join", miss_join
+            miss = self.misread(part + low_r)
+            as_compound = len(self.readings(f"{part}-{low_r}")) > 1
+            return ("keep", None) if as_compound and not miss else ("join", miss)
         return ("keep" if keep > join else "join"), None
 
     def letters(self, text: str) -> list[tuple[int, str]]:
@@ -228,116 +282,164 @@ def _case(token: str, word: str) -> str:
     return word.upper() if token.isupper() and len(token) > 1 else word[:1].upper() + word[1:] if token[:1].isupper() else word
 
 
-def label(text: str, heads: list[str], shapes: list[str], model: Model, opens: bool) -> tuple[list[tuple[int, str]], list[str]]:
-    """([(line_no, noise)], repaired paragraphs) of one node of a scanned document.
+#: Kinds of line: blank, running text, running head, page number, figures of a table, title.
+BLANK, TEXT, HEAD, PAGE, TABLE, TITLE = "b", "t", "h", "p", "g", "i"
+
+
+def layout(text: str, heads: list[str], shapes: list[str], opens: bool) -> str:
+    """The kind of each line of one node of a scanned document, a letter a line.
 
     ``heads`` and ``shapes`` are the running heads and kinds of page number of the document; ``opens`` says that the
     node begins the document, whose first line may be its title.
     """
-    lines = text.split("\n")
-    kind = ["blank" if not x.strip() else "text" for x in lines]
-    found: list[tuple[int, str]] = []
-    widest = max(map(len, heads), default=0) * 2 + 8  # a folded form may be half as long as its line
+    kinds = []
+    widest = 4 * (max(map(len, heads), default=-4) + 2) + 12  # folding makes at most four characters one; page numbers beside
     first = opens
-    for i, line in enumerate(lines):
-        if kind[i] == "blank":
+    for line in text.split("\n"):
+        bare = "".join(line.split())
+        if not bare:
+            kinds.append(BLANK)
             continue
-        form = head_form(line) if len(line) <= widest else None
+        form = head_form(line) if len(bare) <= widest else None
         is_head = form is not None and any(_same(form, h) for h in heads)
         if first:
             first = False
             if is_head:
-                kind[i] = "title"
+                kinds.append(TITLE)
                 continue
         got = shape(line)
-        if got and (got in shapes or got in _EXPLICIT) and not (got == "N" and len(line.strip()) > 3):
-            kind[i] = "page_no"
+        if got and (got in shapes or got in _EXPLICIT) and not (got == "N" and len(bare) > 3):
+            kinds.append(PAGE)
         elif is_head:
-            kind[i] = "header"
-        elif line.strip().casefold() in TOTALS or re.fullmatch(r"[0-9][0-9.,]*", line.strip()):
-            kind[i] = "table"
-        if kind[i] in ("page_no", "header"):
-            found.append((i + 1, kind[i]))
-    running = [i for i, k in enumerate(kind) if k == "text"]
-    fixed = {i: lines[i] for i in running}
+            kinds.append(HEAD)
+        elif line.strip().casefold() in TOTALS or re.fullmatch(r"[0-9][0-9.,]*", bare):
+            kinds.append(TABLE)
+        else:
+            kinds.append(TEXT)
+    return "".join(kinds)
+
+
+class Running:
+    """The running lines of a node: their words, and the words divided at their ends."""
+
+    def __init__(self, text: str, kinds: str):
+        self.lines = text.split("\n")
+        self.at = [i for i, k in enumerate(kinds) if k == TEXT]
+        self.divided: list[tuple[int, int, int, str, str]] = []  # line, line of the rest, end of the first half, both halves
+        for a, b in zip(self.at, self.at[1:]):
+            m = _BROKEN.search(self.lines[a])
+            if not m:
+                continue
+            between = kinds[a + 1 : b]
+            if TABLE in between or TITLE in between or BLANK in between and not (PAGE in between or HEAD in between):
+                continue
+            n = _PIECE.match(self.lines[b].lstrip())
+            if not n or n[0].lower() in ("und", "oder", "bzw", "and", "or", "bis"):
+                continue
+            self.divided.append((a, b, m.end(1), re.search(r"[\w!@$|-]*$", self.lines[a][: m.end(1)])[0], n[0]))
+        self.words = {i: [(m.start(), m[0]) for m in _TOKEN.finditer(self.lines[i])] for i in self.at if _has_words(self.lines[i])}
+
+    def tokens(self) -> set[str]:
+        """What readings may be asked for, in small letters."""
+        out = set()
+        for words in self.words.values():
+            for _, token in words:
+                out.add(token.lower())
+                if token[-1] in "!|" and len(token) > 2:
+                    out.add(token[:-1].lower())
+        return {x for x in out if len(x) > 1 and not x.isdigit()}
+
+    def joins(self) -> set[str]:
+        """The words that divided words may be halves of."""
+        out = set()
+        for *_, left, right in self.divided:
+            low_l, low_r = left.lower(), right.lower()
+            part = low_l.rsplit("-", 1)[-1]
+            out |= {low_l + low_r, part + low_r, f"{low_l}-{low_r}", f"{part}-{low_r}"}
+        return out
+
+    def beside(self) -> Counter:
+        return Counter((a[1].lower(), b[1].lower()) for words in self.words.values() for a, b in zip(words, words[1:]))
+
+
+def _has_words(line: str) -> bool:
+    return line.isascii() or not _WIDE.search(line) or re.search("[A-Za-z]{3}", line) is not None
+
+
+def label(text: str, kinds: str, model: Model) -> tuple[list[tuple[int, str]], list[str]]:
+    """([(line_no, noise)], repaired paragraphs) of one node of a scanned document, whose lines are of these kinds."""
+    run = Running(text, kinds)
+    lines = run.lines
+    found: list[tuple[int, str]] = [(i + 1, "page_no" if k == PAGE else "header") for i, k in enumerate(kinds) if k in (PAGE, HEAD)]
+    fixed = {i: lines[i] for i in run.at}
     wrong: set[int] = set()
+    # characters: over the running text without its line ends; one for one, so places in the line stay
+    if any(_WIDE.search(lines[i]) for i in run.at):
+        owner = [(i, k) for i in run.at for k, c in enumerate(lines[i]) if not c.isspace()]
+        for at, c in model.letters("".join(lines[i][k] for i, k in owner)):
+            i, k = owner[at]
+            wrong.add(i)
+            fixed[i] = fixed[i][:k] + c + fixed[i][k + 1 :]
     taken: dict[int, tuple[int, int]] = {}  # characters of a line that belong to a divided word: at its start, at its end
     glue: set[int] = set()
-    for a, b in zip(running, running[1:]):
-        m = _BROKEN.search(lines[a])
-        if not m:
-            continue
-        between = kind[a + 1 : b]
-        if "table" in between or "title" in between or "blank" in between and not ("page_no" in between or "header" in between):
-            continue
-        n = _PIECE.match(lines[b].lstrip())
-        if not n or n[0].lower() in ("und", "oder", "bzw", "and", "or", "bis"):
-            continue
-        head = re.search(r"[\w!@$|-]*$", lines[a][: m.end(1)])[0]
-        how, miss = model.joined(head, n[0])
-        indent = len(lines[b]) - len(lines[b].lstrip())
-        if how == "join":
-            found.append((a + 1, "hyphen"))
-            glue.add(a)
-            fixed[a] = fixed[a][: m.end(1)]
-            part = head.rsplit("-", 1)[-1]
-            taken[a] = (taken.get(a, (0, 0))[0], len(lines[a]) - m.end(1) + len(part))
-            taken[b] = (indent + len(n[0]), taken.get(b, (0, 0))[1])
-            if miss:
-                wrong.add(a if miss[0] < len(part) else b)
-                if miss[0] < len(part):
-                    fixed[a] = fixed[a][: len(fixed[a]) - len(part)] + miss[1][: len(part)]
-        else:
-            glue.add(a)
+    starts: dict[int, str] = {}  # what a line begins with instead of the second half of a divided word
+    for a, b, end, left, right in run.divided:
+        how, reading = model.joined(left, right)
+        glue.add(a)
+        if how == "keep":
             fixed[a] = fixed[a].rstrip()
-    for i in running:
-        line = lines[i]
+            continue
+        found.append((a + 1, "hyphen"))
+        fixed[a] = fixed[a][:end]
+        part = left.rsplit("-", 1)[-1]
+        taken[a] = (taken.get(a, (0, 0))[0], len(lines[a]) - end + len(part))
+        taken[b] = (len(lines[b]) - len(lines[b].lstrip()) + len(right), taken.get(b, (0, 0))[1])
+        if reading:
+            low = reading.lower()
+            if low.endswith(right.lower()):  # the first half was misread
+                halves = reading[: len(reading) - len(right)], right
+            elif low.startswith(part.lower()):
+                halves = part, low[len(part) :]
+            else:
+                halves = reading[: len(part)], low[len(part) :]
+            wrong |= {i for i, old, new in ((a, part, halves[0]), (b, right, halves[1])) if old.lower() != new.lower()}
+            fixed[a] = fixed[a][: len(fixed[a]) - len(part)] + _case(part, halves[0].lower())
+            starts[b] = _case(right, halves[1].lower())
+    beside = run.beside()
+    for i, words in run.words.items():
         skip = taken.get(i, (0, 0))
-        if line.isascii() or not _WIDE.search(line) or re.search("[A-Za-z]{3}", line):
-            new, shift = fixed[i], 0
-            for m in _TOKEN.finditer(line):
-                if m.start() < skip[0] or m.end() > len(line) - skip[1]:
-                    continue
-                token = m[0]
-                miss = model.misread(token)
-                if miss is None and token[-1:] in "!|" and len(token) > 2:
-                    token = token[:-1]
-                    miss = model.misread(token)
-                if miss:
-                    wrong.add(i)
-                    new = new[: m.start() + shift] + miss[1] + new[m.start() + shift + len(token) :]
-                    shift += len(miss[1]) - len(token)
-            fixed[i] = new
-    # characters: over the running text without its line ends
-    if any(_WIDE.search(lines[i]) for i in running):
-        joined, owner = [], []
-        for i in running:
-            for k, c in enumerate(lines[i]):
-                if not c.isspace():
-                    joined.append(c)
-                    owner.append((i, k))
-        for at, c in model.letters("".join(joined)):
-            i, k = owner[at]
-            wrong.add(i)
-            if len(fixed[i]) == len(lines[i]):
-                fixed[i] = fixed[i][:k] + c + fixed[i][k + 1 :]
+        line = lines[i]
+        words = [(at, w) for at, w in words if at >= skip[0] and at + len(w) <= len(line) - skip[1]]
+        words = [(at, w[:-1] if w[-1] in "!|" and len(w) > 2 and len(model.readings(w.lower())) == 1 else w) for at, w in words]
+        if not words:
+            continue
+        new, shift = fixed[i], 0
+        for (at, token), reading in zip(words, model.line([w for _, w in words], beside)):
+            if reading:
+                wrong.add(i)
+                new = new[: at + shift] + reading + new[at + shift + len(token) :]
+                shift += len(reading) - len(token)
+        fixed[i] = new
+    for i, start in starts.items():
+        indent = len(lines[i]) - len(lines[i].lstrip())
+        fixed[i] = fixed[i][:indent] + start + fixed[i][taken[i][0] :]
     found += [(i + 1, "misread") for i in wrong]
-    return sorted(found), _paragraphs(kind, lines, fixed, glue)
+    return sorted(found), _paragraphs(kinds, lines, fixed, glue)
 
 
-def _paragraphs(kind: list[str], lines: list[str], fixed: dict[int, str], glue: set[int]) -> list[str]:
+def _paragraphs(kind: str, lines: list[str], fixed: dict[int, str], glue: set[int]) -> list[str]:
     out: list[str] = []
     last = None
     for i, k in enumerate(kind):
-        if k in ("page_no", "header"):
+        if k in (PAGE, HEAD):
             continue
-        if k == "blank":
+        if k == BLANK:
             # a blank line beside page layout does not end a paragraph that goes on
-            if not (last is not None and kind[last] == "text" and (kind[i - 1 : i] == ["page_no"] or kind[i - 1 : i] == ["header"] or kind[i + 1 : i + 2] in (["page_no"], ["header"]))):
+            if not (last is not None and kind[last] == TEXT and (kind[i - 1 : i] in (PAGE, HEAD) and i or kind[i + 1 : i + 2] in (PAGE, HEAD))):
                 last = None
             continue
-        line = (fixed[i] if k == "text" else lines[i]).strip()
-        if k != "text" or last is None or kind[last] != "text":
+        line = (fixed[i] if k == TEXT else lines[i]).strip()
+        if k != TEXT or last is None or kind[last] != TEXT:
             out.append(line)
         elif last in glue:
             out[-1] += line
@@ -349,7 +451,10 @@ def _paragraphs(kind: list[str], lines: list[str], fixed: dict[int, str], glue:
 
 
 def counts(texts: DataFrame, text: str) -> DataFrame:
-    """``token, n`` over all rows: words (lower case, compounds also whole), characters and pairs of characters."""
+    """``token, n`` over all rows: words (small letters, compounds also whole), pairs of words, characters and pairs of those.
+
+    A word begins with "w", a pair of words with "b"; what is left are characters.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -364,11 +469,13 @@ def counts(texts: DataFrame, text: str) -> DataFrame:
                             c[flat[at - 1 : at + 1]] += 1
                         if flat[at + 1 : at + 2] and flat[at + 1] not in LIKE:
                             c[flat[at : at + 2]] += 1
-                for w in _WORD.findall(t.lower()):
-                    if w < "⺀":
-                        c["w" + w] += 1
-                        if "-" in w:
-                            c.update("w" + x for x in w.split("-"))
+                words = [w for w in _WORD.findall(t.lower()) if w < "⺀"]
+                c.update(["w" + w for w in words])
+                plain = words
+                if "-" in t:
+                    plain = [x for w in words for x in w.split("-")]
+                    c.update("w" + x for w in words if "-" in w for x in w.split("-"))
+                c.update([f"b{a} {b}" for a, b in zip(plain, plain[1:])])
             if len(c) > 300_000:
                 yield pd.DataFrame({"token": list(c), "n": list(c.values())})
                 c = Counter()
@@ -378,35 +485,21 @@ def counts(texts: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, text: str, words: int = WORDS) -> Model:
-    """The language model of a corpus: its ``words`` most frequent words, and the character counts.
-
-    Characters and pairs are bounded by the script, words by ``words``; counts are over all rows.
-    """
-    table = cut(counts(texts, text))
-    is_word = F.col("token").startswith("w") & (F.length("token") > 1) & (F.substring("token", 2, 1) < "⺀")
-    top = table.filter(is_word).orderBy(F.desc("n"), "token").limit(words)
-    chars = table.filter(~is_word).orderBy(F.desc("n"), "token").limit(4 * words)
-    got: dict[bool, dict[str, int]] = {True: {}, False: {}}
-    for r in top.withColumn("w", F.lit(True)).unionByName(chars.withColumn("w", F.lit(False))).toLocalIterator():
-        got[r["w"]][r["token"][1:] if r["w"] else r["token"]] = r["n"]
-    return Model(got[True], got[False])
-
-
 def scanned(nodes: DataFrame, salts: int = 16) -> DataFrame:
-    """Current nodes of scanned documents: ``doc_id, pos, text, heads, shapes, opens``.
+    """Current nodes of scanned documents: ``node, doc_id, pos, text, kinds`` (a number, and the kinds of lines).
 
     ``nodes`` has ``doc_id, pos, text, ingested_at``. Rows with a null key are left out; of equal keys the latest row
     counts; null and blank texts have no lines.
     """
-    longest = F.array_max(F.transform(F.split("text", "\n"), F.length))
-    rows = nodes.filter("doc_id is not null and pos is not null").select(
-        "doc_id", "pos", "ingested_at", F.coalesce(longest, F.lit(0)).alias("longest"), F.when(longest <= LINE, F.col("text")).alias("text")
-    )  # long lines settle that a document is not scanned: their text is not shuffled
+    lengths = F.transform(F.split("text", "\n"), F.length)
+    n_lines, n_long = F.coalesce(F.size(lengths), F.lit(0)), F.coalesce(F.size(F.filter(lengths, lambda n: n > LINE)), F.lit(0))
+    rows = nodes.filter("doc_id is not null and pos is not null").select("doc_id", "pos", "ingested_at", n_lines.alias("lines"), n_long.alias("long"), "text")
+    # a node of long lines is not printed lines: its text is not shuffled
+    rows = rows.withColumn("text", F.when(F.col("long") <= LONG_IN_NODE * F.col("lines"), F.col("text")))
     now = cut(current_rows(rows, ["doc_id", "pos"], "ingested_at"))
     wrapped = F.col("text").rlike(r"[^\s.。!！?？।:：]\s*\n[^\n]*\S")
-    docs = now.groupBy("doc_id").agg(F.max("longest").alias("longest"), F.max(wrapped).alias("wrapped"), F.count("text").alias("nodes"), F.min("pos").alias("first"))
-    docs = docs.filter((F.col("longest") <= LINE) & F.col("wrapped")).select("doc_id", "nodes", "first")
+    docs = now.groupBy("doc_id").agg(F.sum("lines").alias("lines"), F.sum("long").alias("long"), F.max(wrapped).alias("wrapped"), F.count("text").alias("nodes"), F.min("pos").alias("first"))
+    docs = docs.filter((F.col("long") <= LONG_LINES * F.col("lines")) & F.col("wrapped")).select("doc_id", "nodes", "first")
     spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = now.filter("text is not null").withColumn("salt", F.pmod(F.xxhash64("pos"), F.lit(salts)).cast("int"))
     mine = salted.join(spread(docs), ["doc_id", "salt"])
@@ -416,7 +509,9 @@ def scanned(nodes: DataFrame, salts: int = 16) -> DataFrame:
             out = []
             for d, t in zip(pdf["doc_id"], pdf["text"]):
                 lines = [x for x in t.split("\n") if x.strip()]
-                for x in lines[:2] + lines[max(2, len(lines) - 2) :]:
+                inner = [i for i in range(3, len(lines) - 3) if len(lines[i].strip()) <= 40 and shape(lines[i]) in _EXPLICIT]  # a page ends inside
+                near = {0, 1, len(lines) - 2, len(lines) - 1, *inner, *(i - 1 for i in inner), *(i + 1 for i in inner)}
+                for x in [lines[i] for i in sorted(near) if 0 <= i < len(lines)]:
                     got = shape(x)
                     if got:
                         out.append((d, "#" + got))
@@ -433,24 +528,168 @@ def scanned(nodes: DataFrame, salts: int = 16) -> DataFrame:
         F.coalesce(F.filter("forms", lambda f: ~f.startswith("#")), F.array().cast("array<string>")).alias("heads"),
         F.coalesce(F.transform(F.filter("forms", lambda f: f.startswith("#")), lambda f: F.substring(f, 2, 40)), F.array().cast("array<string>")).alias("shapes"),
     )
-    return salted.join(spread(profile), ["doc_id", "salt"]).select("doc_id", "pos", "text", "heads", "shapes", (F.col("pos") == F.col("first")).alias("opens"))
+
+    def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kinds = [layout(t, list(h), list(s), bool(o)) for t, h, s, o in zip(pdf["text"], pdf["heads"], pdf["shapes"], pdf["opens"])]
+            yield pdf[["doc_id", "pos", "text"]].assign(kinds=kinds)
+
+    ready = salted.join(spread(profile), ["doc_id", "salt"]).select("doc_id", "pos", "text", "heads", "shapes", (F.col("pos") == F.col("first")).alias("opens"))
+    ready = ready.mapInPandas(laid_out, "doc_id string, pos int, text string, kinds string")
+    out = cut(ready.withColumn("node", F.monotonically_increasing_id()))
+    release(now)
+    return out
+
+
+def vocabulary(pages: DataFrame) -> DataFrame:
+    """``word, joins``: the distinct words of the running text, and those that divided words may be halves of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, bool] = {}
+        for pdf in batches:
+            for t, k in zip(pdf["text"], pdf["kinds"]):
+                r = Running(t, k)
+                for w in r.tokens():
+                    seen.setdefault(w, False)
+                seen.update(dict.fromkeys(r.joins(), True))
+            if len(seen) > 200_000:
+                yield pd.DataFrame(seen.items(), columns=["word", "joins"])
+                seen = {}
+        yield pd.DataFrame(seen.items(), columns=["word", "joins"])
+
+    return pages.select("text", "kinds").mapInPandas(run, "word string, joins boolean").groupBy("word").agg(F.max("joins").alias("joins"))
+
+
+def readings(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``word, joins, n, found``: words with their count and the readings (``reading, n, used``) that the counts know.
+
+    One confusion for every word, two for rare words that none explains. Readings that even the best context could not
+    make likely are left out, and so are words without any, but for those that divided words may be.
+    """
+    counted = table.filter(F.col("token").startswith("w")).select(F.substring("token", 2, 10_000).alias("word"), F.col("n"))
+    own = cut(words.join(counted, "word", "left").select("word", "joins", F.coalesce("n", F.lit(0)).alias("n")))
+
+    def made(source: DataFrame, edits: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(w, n, r, list(used)) for w, n in zip(pdf["word"], pdf["n"]) for r, used in _possible(w, edits)]
+                for i in range(0, len(rows), 50_000):
+                    yield pd.DataFrame(rows[i : i + 50_000], columns=["word", "own", "reading", "used"])
+
+        tried = source.select("word", "n").mapInPandas(run, "word string, own long, reading string, used array<int>")
+        met = tried.join(counted.select(F.col("word").alias("reading"), "n"), "reading")
+        mixed = ~F.col("word").rlike(r"^[\p{L}-]+$")
+        odds = (WORD_ODDS * MOVE) ** edits * CONTEXT**2
+        return met.filter(mixed | (F.col("n") >= LEAST) & (F.col("n") * odds > F.col("own"))).select("word", "reading", "n", "used")
+
+    once = cut(made(own, 1))
+    rest = own.filter((F.col("n") < RARE) & (F.length("word") >= 5)).join(once.select("word").distinct(), "word", "left_anti")
+    found = once.unionByName(made(rest, 2)).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "reading", "used")), asc=False).alias("found"))
+    both = own.join(found, "word", "left").filter("found is not null or joins and n > 0")
+    return both.select("word", "joins", "n", F.coalesce("found", F.array().cast("array<struct<n:bigint,reading:string,used:array<int>>>")).alias("found"))
+
+
+def _possible(word: str, edits: int) -> Iterator[tuple[str, tuple[int, ...]]]:
+    if len(word) < 2 or word.isdigit() or not word.replace("-", "").isalpha() and word.endswith("!"):
+        return
+    if "-" in word:  # a compound: either side may be misread
+        left, right = word.rsplit("-", 1)
+        yield from ((f"{x}-{right}", used) for x, used in candidates(left, edits))
+        yield from ((f"{left}-{x}", used) for x, used in candidates(right, edits))
+    else:
+        yield from candidates(word, edits)
+
+
+def confusion_odds(known: DataFrame) -> list[float]:
+    """Odds of each confusion of :data:`PAIRS`, learned: errors over occurrences of what was written, against the mean."""
+    first = known.filter("size(found) > 0").select("word", "n", F.col("found")[0].alias("f"))
+    # words that their best reading explains at flat odds, by their single confusion
+    bad = first.filter(F.col("word").rlike(r"^\p{L}+$") & (F.size("f.used") == 1) & (F.col("f.n") * WORD_ODDS > F.col("n")))
+    errors = {r["u"]: r["n"] for r in bad.groupBy(F.col("f.used")[0].alias("u")).agg(F.sum(F.greatest("n", F.lit(1))).alias("n")).collect()}
+    written = sorted({w for _, w in PAIRS})
+    right = bad.select(F.col("f.reading").alias("word"), F.col("f.n").alias("n")).distinct()
+    sums = right.agg(*[F.sum(F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(w), F.lit("")))) / len(w)).alias(f"w{i}") for i, w in enumerate(written)]).first()
+    times = {w: sums[f"w{i}"] or 0 for i, w in enumerate(written)}
+    rate = [errors.get(i, 0) / times[w] if times[w] else 0.0 for i, (_, w) in enumerate(PAIRS)]
+    seen = [(r, times[w]) for r, (_, w) in zip(rate, PAIRS) if r]
+    mean = sum(r * n for r, n in seen) / sum(n for _, n in seen) if seen else 0.0
+    return [WORD_ODDS * min(MOVE, max(1 / MOVE, r / mean)) if mean else WORD_ODDS for r in rate]
+
+
+def _bit_set(keys: DataFrame) -> np.ndarray:
+    """Which of :data:`BITS` bits some key has: of a fixed size, so what is collected does not grow."""
+    spot = (F.crc32(F.encode("key", "UTF-8")) % BITS).alias("b")
+    words = keys.select(spot).groupBy(F.expr("b div 64").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).toPandas()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[words["i"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _asked(r: Running, frequent: dict, worth: np.ndarray, readable: np.ndarray) -> set[str]:
+    """Keys of the counts that decoding a node may use and that are not broadcast."""
+    out = {"r" + w for w in r.joins()}
+    for words in r.words.values():
+        low = [w.lower() for _, w in words]
+        forms = []
+        for w in low:
+            kept = []
+            for x in (w, w[:-1]) if w[-1] in "!|" else (w,):
+                if len(x) > 1 and worth[bit(x)]:
+                    out.add("r" + x)
+                    kept += [c for c, _ in candidates(x) if readable[bit(c)]]
+            forms.append([w, *kept])
+        for a, b in zip(forms, forms[1:]):
+            if len(a) > 1 or len(b) > 1:
+                for x in a:
+                    out.add("w" + x)
+                    out.update(f"b{x} {y}" for y in b)
+                out.update("w" + y for y in b)
+    return {k for k in out if k not in frequent}
 
 
 def _labelled(nodes: DataFrame, schema: str, rows_of) -> DataFrame:
     spark = nodes.sparkSession
-    model = train(nodes, "text")
-    shared = spark.sparkContext.broadcast((model.words, model.pairs))
+    table = cut(counts(nodes, "text"))
+    pages = scanned(nodes)
+    known = cut(readings(vocabulary(pages), table))
+    odds = confusion_odds(known)
+    is_word, is_pair = F.col("token").startswith("w"), F.col("token").startswith("b")
+    of_words = F.length("token") > 2
+    total = table.filter(is_word & of_words).agg(F.sum("n")).first()[0] or 1
+    # no more than 1 / FREQUENT words and as many pairs; characters and their pairs are bounded by the script
+    frequent: dict[str, object] = {r["token"]: r["n"] for r in table.filter((is_word | is_pair) & of_words & (F.col("n") >= total * FREQUENT)).toLocalIterator()}
+    for r in known.filter(F.col("n") >= total * FREQUENT).toLocalIterator():
+        frequent["r" + r["word"]] = (r["n"], [(f["reading"], f["n"], tuple(f["used"])) for f in r["found"]])
+    letters = {r["token"]: r["n"] for r in table.filter((~is_word & ~is_pair | ~of_words) & (F.ascii("token") > 127)).toLocalIterator()}
+    some = known.filter("size(found) > 0")
+    worth = _bit_set(some.select(F.col("word").alias("key")))
+    readable = _bit_set(some.select(F.explode("found.reading").alias("key")))
+    shared = spark.sparkContext.broadcast((frequent, letters, odds, total, worth, readable))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, _, _, _, some_word, some_reading = shared.value
+        for pdf in batches:
+            rows = [(n, k) for n, t, kinds in zip(pdf["node"], pdf["text"], pdf["kinds"]) for k in _asked(Running(t, kinds), common, some_word, some_reading)]
+            yield pd.DataFrame(rows, columns=["node", "key"])
+
+    none = F.lit(None).cast("array<struct<n:bigint,reading:string,used:array<int>>>")
+    answers = table.filter((is_word | is_pair) & of_words).select(F.col("token").alias("key"), "n", none.alias("found"))
+    answers = answers.unionByName(known.select(F.concat(F.lit("r"), "word").alias("key"), "n", "found"))
+    got = pages.select("node", "text", "kinds").mapInPandas(ask, "node long, key string").join(answers, "key")
+    got = got.groupBy("node").agg(F.collect_list(F.struct("key", "n", "found")).alias("got"))  # of one node's words
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
+        common, chars, learned, everything, _, _ = shared.value
+        own = Model(common, chars, learned, everything)
         for pdf in batches:
             out = []
-            for d, p, t, heads, shapes, opens in zip(pdf["doc_id"], pdf["pos"], pdf["text"], pdf["heads"], pdf["shapes"], pdf["opens"]):
-                out += [(d, p, *row) for row in rows_of(label(t, list(heads), list(shapes), own, bool(opens)))]
+            for d, p, t, kinds, answered in zip(pdf["doc_id"], pdf["pos"], pdf["text"], pdf["kinds"], pdf["got"]):
+                own.asked = {a["key"]: a["n"] if a["found"] is None else (a["n"], [(f["reading"], f["n"], tuple(f["used"])) for f in a["found"]]) for a in (answered if answered is not None else ())}
+                out += [(d, p, *row) for row in rows_of(label(t, kinds, own))]
             yield pd.DataFrame(out, columns=names)
 
-    return scanned(nodes).mapInPandas(run, schema)
+    return pages.join(got, "node", "left").select("doc_id", "pos", "text", "kinds", "got").mapInPandas(run, schema)
 
 
 def noisy_lines(nodes: DataFrame) -> DataFrame:

@@ -68,3 +68,43 @@ def test_letters():
     m = denoise.Model({}, pairs)
     assert m.letters("服务旳故障") == [(2, "的")] and m.letters("服务的故障") == []
     assert m.letters("投人增") == [(1, "入")] and m.letters("投入增") == []
+
+
+def test_running_heads_behind_wide_gaps():
+    for gap in (3, 30, 90):
+        line = "Outline of the Parser" + " " * gap + "12"
+        assert denoise.layout(f"x\n{line}\nThe text goes on", [denoise.head_form("Outline of the Parser")], [], False) == "tht"
+    assert denoise.shape("Page" + " " * 60 + "12") == "page N"
+
+
+def test_context_and_two_confusions(spark):
+    """A word that is right elsewhere, a word with two confusions, the second half of a divided word; repaired text."""
+    rnd = random.Random(5)
+    plain = []
+    for i in range(300):
+        ws = [rnd.choice(WORDS) for _ in range(120)]
+        plain.append(("e", i, " ".join(ws) + " the modern router keeps every record. An old modem sends it. We describe the modern router. " * 2))
+    nodes = []
+    for pos in range(12):
+        lines = ["Outline of the Parser"] + [" ".join(rnd.choice(WORDS) for _ in range(7)) for _ in range(4)]
+        if pos == 3:
+            lines += ["and then the modem router keeps", "what an old modem sends it every", "which schcdulc begins and we des-", "cribc what the modern router keeps"]
+        lines += [" ".join(rnd.choice(WORDS) for _ in range(7)), f"Page {pos + 1}"]
+        nodes.append(("d", pos, "\n".join(lines)))
+    df = frame(spark, nodes + plain)
+    got = {(r["line_no"], r["noise"]) for r in denoise.noisy_lines(df).filter("pos = 3").collect()}
+    assert got == {(1, "header"), (6, "misread"), (8, "misread"), (8, "hyphen"), (9, "misread"), (11, "page_no")}
+    text = " ".join(r["text"] for r in denoise.repaired(df).filter("pos = 3").orderBy("para_no").collect())
+    assert "the modern router keeps what an old modem sends" in text
+    assert "which schedule begins and we describe what the modern router" in text
+
+
+def test_learned_odds_and_bit_sets(spark):
+    known = spark.createDataFrame([("thc", False, 9, [("the", 5000, [0])]), ("wbo", False, 1, [("who", 4000, [9])])], "word string, joins boolean, n long, found array<struct<reading:string,n:long,used:array<int>>>")
+    known = known.selectExpr("word", "joins", "n", "transform(found, f -> struct(f.n as n, f.reading as reading, f.used as used)) as found")
+    assert denoise.PAIRS[0] == ("c", "e")
+    odds = denoise.confusion_odds(known)
+    assert odds[0] > denoise.WORD_ODDS > odds[1] > 0
+    bits = denoise._bit_set(known.selectExpr("word as key"))
+    assert bits.sum() == 2 and bits[denoise.bit("thc")] and bits[denoise.bit("wbo")]
+    assert dict(denoise.candidates("des", 1)) and all(x.isalpha() for x, _ in denoise.candidates("c1e", 2))
