@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,8 @@ LIKE = {c: [x for x in group if x != c] for group in LOOK_ALIKE for c in group}
 TOTALS = {"total", "summe", "合计", "sum", "合計", "小计"}
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_LIKE = re.compile("[" + "".join(LIKE) + "]")
+_INTO = re.compile("(?=(.[" + "".join(LIKE) + "]))", re.S)
+_OUT_OF = re.compile("(?=([" + "".join(LIKE) + "][^" + "".join(LIKE) + "]))", re.S)
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
 _BROKEN = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[-‐‑¬\xad]\s*$")
 _PIECE = re.compile(r"[^\W\d_][\w!@$|]*")
@@ -85,6 +87,7 @@ def fold(text: str) -> str:
     return s
 
 
+_MAY_COUNT = re.compile(r"[0-9lIiOoSsBbgqZz|!vxcXVC]")
 _SPACED = re.compile(r"([第页頁贞共\[\]()/·])")
 _PAGE_WORDS = {fold(w): w for w in ("page", "seite", "of", "von", "页")}
 
@@ -95,6 +98,8 @@ def shape(line: str) -> str | None:
     Kinds that begin with ``~`` are any short line with a number in it: page numbers only where they come back on page
     after page.
     """
+    if len(line.split(None, 7)) > 7 or not _MAY_COUNT.search(line):
+        return None
     tokens = _SPACED.sub(r" \1 ", line).split()
     if not 0 < len(tokens) <= 7 or max(map(len, tokens)) > 20:  # no kind has longer or more words
         return None
@@ -205,22 +210,23 @@ class Model:
         most = math.log(CONTEXT)
         return min(most, max(-most, math.log((together + SMOOTH) / (chance + SMOOTH))))
 
-    def line(self, tokens: list[str], beside: Counter) -> list[str | None]:
+    def line(self, tokens: list[str], run: Running) -> list[str | None]:
         """The likely reading of each token of a line, or None where it was read rightly: Viterbi over candidate words.
 
-        ``beside`` has how often words stand side by side in this text: what a misread word stands beside is no
+        How often words stand side by side in this text itself does not count: what a misread word stands beside is no
         evidence for it (each text may have been counted twice).
         """
         low = [x.lower() for x in tokens]
-        states = [self.readings(x) for x in low]
-        if all(len(s) == 1 for s in states):
+        words, asked = self.words, self.asked
+        if not any(("r" + x) in asked or ("r" + x) in words for x in low):
             return [None] * len(tokens)
+        states = [self.readings(x) for x in low]
         paths: list[tuple[float, tuple[str, ...]]] = [(score, (form,)) for form, score in states[0]]
         for i in range(1, len(low)):
             if len(states[i]) == len(states[i - 1]) == 1:  # nothing to choose between
                 paths = [(s, (*p, low[i])) for s, p in paths]
                 continue
-            own = 2 * beside[low[i - 1], low[i]]
+            own = 2 * run.beside[low[i - 1], low[i]]
             step = []
             for form, score in states[i]:
                 s, p = max(((s + self.lift(p[-1], form, own if (p[-1], form) == (low[i - 1], low[i]) else 0), p) for s, p in paths), key=lambda x: x[0])
@@ -337,17 +343,17 @@ class Running:
             if not n or n[0].lower() in ("und", "oder", "bzw", "and", "or", "bis"):
                 continue
             self.divided.append((a, b, m.end(1), re.search(r"[\w!@$|-]*$", self.lines[a][: m.end(1)])[0], n[0]))
-        self.words = {i: [(m.start(), m[0]) for m in _TOKEN.finditer(self.lines[i])] for i in self.at if _has_words(self.lines[i])}
+
+    @cached_property
+    def words(self) -> dict[int, list[tuple[int, str]]]:
+        """(place, word) by line."""
+        return {i: [(m.start(), m[0]) for m in _TOKEN.finditer(self.lines[i])] for i in self.at if _has_words(self.lines[i])}
 
     def tokens(self) -> set[str]:
         """What readings may be asked for, in small letters."""
-        out = set()
-        for words in self.words.values():
-            for _, token in words:
-                out.add(token.lower())
-                if token[-1] in "!|" and len(token) > 2:
-                    out.add(token[:-1].lower())
-        return {x for x in out if len(x) > 1 and not x.isdigit()}
+        out = set(_TOKEN.findall("\n".join([self.lines[i] for i in self.at]).lower()))
+        out.update([x[:-1] for x in out if x[-1] in "!|" and len(x) > 2])
+        return {x for x in out if len(x) > 1}
 
     def joins(self) -> set[str]:
         """The words that divided words may be halves of."""
@@ -358,7 +364,9 @@ class Running:
             out |= {low_l + low_r, part + low_r, f"{low_l}-{low_r}", f"{part}-{low_r}"}
         return out
 
+    @cached_property
     def beside(self) -> Counter:
+        """How often words stand side by side."""
         return Counter((a[1].lower(), b[1].lower()) for words in self.words.values() for a, b in zip(words, words[1:]))
 
 
@@ -405,7 +413,6 @@ def label(text: str, kinds: str, model: Model) -> tuple[list[tuple[int, str]], l
             wrong |= {i for i, old, new in ((a, part, halves[0]), (b, right, halves[1])) if old.lower() != new.lower()}
             fixed[a] = fixed[a][: len(fixed[a]) - len(part)] + _case(part, halves[0].lower())
             starts[b] = _case(right, halves[1].lower())
-    beside = run.beside()
     for i, words in run.words.items():
         skip = taken.get(i, (0, 0))
         line = lines[i]
@@ -414,7 +421,7 @@ def label(text: str, kinds: str, model: Model) -> tuple[list[tuple[int, str]], l
         if not words:
             continue
         new, shift = fixed[i], 0
-        for (at, token), reading in zip(words, model.line([w for _, w in words], beside)):
+        for (at, token), reading in zip(words, model.line([w for _, w in words], run)):
             if reading:
                 wrong.add(i)
                 new = new[: at + shift] + reading + new[at + shift + len(token) :]
@@ -457,29 +464,31 @@ def counts(texts: DataFrame, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        def rows() -> pd.DataFrame:
+            for (a, b), n in pairs.items():
+                c[f"b{a} {b}"] = n
+            c.update({x: n for x, n in letters.items() if x > "⹿"})
+            return pd.DataFrame({"token": list(c), "n": list(c.values())})
+
+        c, pairs, letters = Counter(), Counter(), Counter()
         for pdf in batches:
             for t in pdf["text"]:
                 if _WIDE.search(t):
                     flat = "".join(t.split())
-                    c.update(x for x in flat if x > "⹿")
-                    for m in _LIKE.finditer(flat):
-                        at = m.start()
-                        if at:
-                            c[flat[at - 1 : at + 1]] += 1
-                        if flat[at + 1 : at + 2] and flat[at + 1] not in LIKE:
-                            c[flat[at : at + 2]] += 1
+                    letters.update(flat)
+                    c.update(_INTO.findall(flat))
+                    c.update(_OUT_OF.findall(flat))
                 words = [w for w in _WORD.findall(t.lower()) if w < "⺀"]
                 c.update(["w" + w for w in words])
                 plain = words
                 if "-" in t:
                     plain = [x for w in words for x in w.split("-")]
                     c.update("w" + x for w in words if "-" in w for x in w.split("-"))
-                c.update([f"b{a} {b}" for a, b in zip(plain, plain[1:])])
-            if len(c) > 300_000:
-                yield pd.DataFrame({"token": list(c), "n": list(c.values())})
-                c = Counter()
-        yield pd.DataFrame({"token": list(c), "n": list(c.values())})
+                pairs.update(zip(plain, plain[1:]))
+            if len(c) + len(pairs) > 300_000:
+                yield rows()
+                c, pairs, letters = Counter(), Counter(), Counter()
+        yield rows()
 
     parts = texts.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(run, "token string, n long")
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
@@ -625,25 +634,27 @@ def _bit_set(keys: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
+@lru_cache(maxsize=100_000)
+def _single(word: str) -> tuple[str, ...]:
+    return tuple(form for form, _ in candidates(word))
+
+
 def _asked(r: Running, frequent: dict, worth: np.ndarray, readable: np.ndarray) -> set[str]:
     """Keys of the counts that decoding a node may use and that are not broadcast."""
     out = {"r" + w for w in r.joins()}
-    for words in r.words.values():
+    some = {w for w in r.tokens() if worth[bit(w)]}
+    out.update(["r" + w for w in some])
+    for words in r.words.values() if some else ():
         low = [w.lower() for _, w in words]
-        forms = []
-        for w in low:
-            kept = []
-            for x in (w, w[:-1]) if w[-1] in "!|" else (w,):
-                if len(x) > 1 and worth[bit(x)]:
-                    out.add("r" + x)
-                    kept += [c for c, _ in candidates(x) if readable[bit(c)]]
-            forms.append([w, *kept])
+        if some.isdisjoint(low) and not any(w[-1] in "!|" and w[:-1] in some for w in low):
+            continue
+        forms = [[w, *[c for x in {w, w.rstrip("!|")} & some for c in _single(x) if readable[bit(c)]]] for w in low]
         for a, b in zip(forms, forms[1:]):
             if len(a) > 1 or len(b) > 1:
                 for x in a:
                     out.add("w" + x)
-                    out.update(f"b{x} {y}" for y in b)
-                out.update("w" + y for y in b)
+                    out.update([f"b{x} {y}" for y in b])
+                out.update(["w" + y for y in b])
     return {k for k in out if k not in frequent}
 
 
