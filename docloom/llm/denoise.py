@@ -66,6 +66,7 @@ _INTO = re.compile("(?=(.[" + "".join(LIKE) + "]))", re.S)
 _OUT_OF = re.compile("(?=([" + "".join(LIKE) + "][^" + "".join(LIKE) + "]))", re.S)
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
 _BROKEN = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[-‐‑¬\xad]\s*$")
+_HYPHENS = "-‐‑¬\xad"
 _PIECE = re.compile(r"[^\W\d_][\w!@$|]*")
 _TOKEN = re.compile(r"[A-Za-zÀ-ÿ0-9!@$|]*[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9!@$|]*")
 _NUMBER = re.compile(r"[0-9lIiOoSsBbgqZz|!]{1,4}")
@@ -103,6 +104,8 @@ def shape(line: str) -> str | None:
     tokens = _SPACED.sub(r" \1 ", line).split()
     if not 0 < len(tokens) <= 7 or max(map(len, tokens)) > 20:  # no kind has longer or more words
         return None
+    if not any(_NUMBER.fullmatch(t) or _ROMAN.fullmatch(t) for t in tokens):  # every kind has a number
+        return None
     out = []
     for i, t in enumerate(tokens):
         if _NUMBER.fullmatch(t) and (any(c.isdigit() for c in t) or t.strip("lI|!") == "") or i and _NUMBER.fullmatch(t):
@@ -333,7 +336,7 @@ class Running:
         self.at = [i for i, k in enumerate(kinds) if k == TEXT]
         self.divided: list[tuple[int, int, int, str, str]] = []  # line, line of the rest, end of the first half, both halves
         for a, b in zip(self.at, self.at[1:]):
-            m = _BROKEN.search(self.lines[a])
+            m = _BROKEN.search(self.lines[a]) if self.lines[a].rstrip()[-1:] in _HYPHENS else None
             if not m:
                 continue
             between = kinds[a + 1 : b]
