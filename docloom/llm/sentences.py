@@ -1,9 +1,10 @@
 """Sentence boundaries by cascading tables of break and no-break rules, for mixed languages and scripts.
 
 A rule is (break?, what stands before, what stands after). The rules of a table are tried in order and the first that
-fits decides a position; positions are what follows a run of end marks with its closing quotes and brackets. The tables
-of the languages whose script occurs in the text come first, the common table last. Texts are mixed and their language
-tag is often wrong, so tables are chosen by the text, not by the tag.
+fits decides a position, whatever the mark; positions are what follows a run of end marks with its closing quotes and
+brackets, and the spaces after Thai words. Texts are mixed and their language tag is often wrong, so tables are chosen by the
+text: ``marks`` comes first, then the tables of the languages of its scripts, those whose small words the paragraph has most
+of before others (a sentence of another language may stand in any paragraph), the common table last. Thai positions have a table of their own.
 
 A text is first cut into paragraphs: at blank lines, and at every line feed unless the lines of its block
 between blank lines are wrapped to a width (:func:`wrapped_blocks`). A paragraph end always ends a sentence. Thai has no end marks: there a space between two Thai
@@ -13,7 +14,9 @@ words, or between Thai and a run of other text that is no mere insertion, ends o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,10 +32,30 @@ _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽ
 _LOW = "a-zß-öø-ÿāăąćčďđēęěğīıłńňőœřśşšťūůűźżžα-ωа-я"
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 
-_FIXED = re.IGNORECASE
-#: (break?, before, after) by language; before is matched up to the position, after from it (white space included).
+_GO_ON = ",;:、，；：،؛"
+#: Nothing, or what may stand before a word.
+_B = rf"(?<![^\s(„“\"«.’'{re.escape(END_MARKS + CLOSERS)}-])"
+_TH = "฀-๿"
+_OTHER = rf"[^{_TH}{_CJK}ऀ-ॿ؀-ۿ]"
+_WIDE_CLASS = "ᄀ-ᅟ⺀-〾ぁ-㏿㐀-鿿가-힣豈-﫿︰-﹏＀-｠￠-￦"
+#: (break?, before, after) by language; before is matched up to the position, after from it (white space included). What
+#: stands before begins no earlier than the sentence where it starts with ``\\A``.
 RULES: dict[str, list[tuple[bool, str, str]]] = {
+    "marks": [
+        # one mark that is never anything else
+        (True, rf"(?<![{re.escape(END_MARKS)}])[。！？।؟]", rf"(?![{_GO_ON}])"),
+        # Japanese that goes on after a quotation
+        (False, r"[。！？…][」』]", r"(?:と|って)"),
+        # a whole quoted sentence that the sentence around it goes on after
+        *[(False, rf"\A\s*{o}[^{c}]*[{re.escape(END_MARKS)}]+{c}", rf"\s*(?=[^\W\d_])[^{_UP}]") for o, c in QUOTES.items()],
+        # marks other than the full stop are only undone by text that goes on
+        (False, r"[^.…]", rf"\s*(?:[{_GO_ON}]|[{_LOW}])"),
+        (True, r"[^.…]", r"\s*\S"),
+        (True, rf"[{re.escape(END_MARKS + CLOSERS)}]…", rf"(?!\s*(?:[{_LOW},;:、，；：]))"),
+        (True, r"…", rf"(?![\s{_LOW},;:、，；：])"),
+    ],
     "en": [
+        (True, r"\b(?:[Pp]lan|[Vv]itamin|[Gg]rade|[Cc]lass|[Tt]ype|[Gg]roup|[Oo]ption|[Pp]art|[Aa]ppendix|an?) [A-Z]\.", r"\s+(?:The|Then|This|That|These|Those|There|She|He|It|We|They|You|I|In|An?|But|And)\b"),
         (False, r"\b(?:Mr|Mrs|Ms|Messrs|Dr|Prof|Gen|Col|Lt|Capt|Sgt|Rev|Hon|Gov|Sen|Rep|Mt|St|Ft|vs|cf|viz|e\. ?g|i\. ?e)\.", r"\s*\S"),
         (False, r"\b(?:No|Nos|Fig|Figs|Eq|Sec|Ch|Vol|Art|Rev|Tab|App|pp?|approx|ca|c|est)\.", r"\s*[0-9(]"),
         (True, r"\b[ap]\.\s?m\.", rf"\s+[{_UP}]"),
@@ -52,19 +75,35 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
         (False, r"\b(?:art|págs?|cap|fig|núm|vol)\.", r"\s*[0-9]"),
         (False, r"\bEE\.", r"\s*UU\."),
     ],
+    "it": [
+        (False, r"\b(?:Sig|Sigg|Sig\.ra|Dott|Dr|Prof|Ing|Avv|On|Spett|cfr|es)\.", r"\s*\S"),
+        (False, r"\b(?:pagg?|artt?|cap|fig|n|vol|ca)\.", r"\s*[0-9]"),
+        (False, r"\becc\.", rf"\s*[{_LOW}{_GO_ON}]"),
+    ],
+    "pt": [
+        (False, r"\b(?:Sr|Sra|Srs|Dra?|Profa?|Exmo|Av|p\.\s?ex)\.", r"\s*\S"),
+        (False, r"\b(?:págs?|art|cap|fig|n|vol)\.", r"\s*[0-9]"),
+    ],
+    "ru": [
+        (False, r"\b(?:[Сс]м|[Рр]ис|[Тт]абл|[Сс]тр|[Гг]л|[Сс]р|[Нн]апр|им|ул|проф|акад|доц|инж|[Тт]\.\s?е|[Тт]\.\s?к)\.", r"\s*\S"),
+        (False, r"\b(?:гг?|вв?|руб|коп|тыс|млн|млрд|[Дд]р|[Тт]\.\s?[дп])\.", rf"\s*[{_LOW}0-9{_GO_ON}]"),
+    ],
+    "ja": [
+        (False, r"\b(?:No|Vol|Fig)\.", r"\s*[0-9０-９]"),
+    ],
     "hi": [
-        (False, r"(?:^|[\s(\"“])(?:प्रा|लि|डॉ|श्री|प्रो|सं|कं|पं|स्व|रु|ई)\.", r"\s*\S"),
+        (False, _B + r"(?:प्रा|लि|डॉ|श्री|प्रो|सं|कं|पं|स्व|रु|ई)\.", r"\s*\S"),
         (False, r"[ऀ-ॣ]\.", r"\s*[ऀ-ॿ]"),
     ],
-    "ar": [(False, r"(?:^|[\s(«])[؀-ۿ]{1}\.", r"\s*\S")],
+    "ar": [(False, _B + r"[؀-ۿ]\.", r"\s*\S")],
     "common": [
         # text that goes on: another mark, a small letter
         (False, r"", r"\s*[,;:、，；：،؛%]"),
         (False, rf"[{_LOW}0-9{_UP}]\.", rf"[{_LOW}0-9_/\\-]"),
         (False, r"", rf"\s*(?:[-–—]\s*)?[{_LOW}]"),
         # initials, paragraph numbers, decimals
-        (False, rf"(?:^|[\s(„“\"«.’'-])[{_UP}{_LOW}]\.", r"\s*\S"),
-        (False, r"^\s*(?:[0-9]{1,3}|[ivxIVX]{1,4})\.", r"\s*\S"),
+        (False, _B + rf"[{_UP}{_LOW}]\.", r"\s*\S"),
+        (False, r"\A\s*(?:[0-9]{1,3}|[ivxIVX]{1,4})\.", r"\s*\S"),
         # the space after an end mark is missing
         (False, rf"[{_UP}]\.", rf"[{_UP}][{_UP}.]"),
         (True, r"[.…]", r"\s"),
@@ -72,16 +111,56 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
         (False, r"[^.]\.", r"\S"),
         (True, r"", r""),
     ],
+    "th": [
+        (True, "", rf"\s+[{_TH}{_WIDE_CLASS}ऀ-ॿ؀-ۿ“「『]"),
+        # an insertion is short, and Thai goes on after it
+        (True, "", rf"\s+{_OTHER}+(?=[{_WIDE_CLASS}])"),
+        (True, "", rf"\s+(?:(?!\s){_OTHER}+?\s+){{3}}(?!\s){_OTHER}"),
+        (True, "", rf"\s+{_OTHER}*?[?!] "),
+        (False, "", ""),
+    ],
+}
+#: Small words by which a paragraph in Latin script shows its languages.
+SMALL_WORDS = {
+    "en": "the of and is that it was for are with this", "de": "der die das und ist den nicht mit ein eine für von", "fr": "le les des et est dans une pour que du sont",
+    "es": "el los las y es una por con para del se", "it": "il gli di che è una per con della sono", "pt": "o os e um uma para com não da do são",
 }
-_SCRIPT = {"hi": re.compile("[ऀ-ॿ]"), "ar": re.compile("[؀-ۿ]"), **{k: re.compile(r"[A-Za-z]\.") for k in ("en", "de", "fr", "es")}}
-_COMPILED = {lang: [(brk, re.compile(f"(?:{b})\\Z") if b else None, re.compile(a) if a else None) for brk, b, a in rows] for lang, rows in RULES.items()}
+_SMALL: dict[str, list[str]] = {}
+for _lang, _words in SMALL_WORDS.items():
+    for _w in _words.split():
+        _SMALL.setdefault(_w, []).append(_lang)
+_SMALL_RE = re.compile(rf"\b(?:{'|'.join(sorted(_SMALL, key=len, reverse=True))})\b")
+_SCRIPT = {"hi": re.compile("[ऀ-ॿ]"), "ar": re.compile("[؀-ۿ]"), "ru": re.compile("[а-яА-Я]"), "ja": re.compile("[぀-ヿ]")}
+_LATIN = re.compile(r"[A-Za-zÀ-ÿ]\.")
+
+
+class Rule:
+    """One rule. What stands before is looked for as far back as the expression can reach, or from the sentence start."""
+
+    def __init__(self, brk: bool, before: str, after: str):
+        self.brk = brk
+        self.whole = before.startswith(r"\A")
+        self.before = re.compile((before[2:] if self.whole else f"(?:{before})") + r"\Z") if before else None
+        self.after = re.compile(after) if after else None
+        self.reach = 0 if self.whole or not before else re._parser.parse(before).getwidth()[1]
+
+    def fits(self, text: str, start: int, at: int, stop: int) -> bool:
+        if self.after is not None and not self.after.match(text, at, stop):
+            return False
+        if self.before is None:
+            return True
+        if self.whole:
+            return self.before.match(text, start, at) is not None
+        return self.before.search(text, max(start, at - self.reach), at) is not None
+
+
+TABLES = {lang: [Rule(*row) for row in rows] for lang, rows in RULES.items()}
 
 _MARKS = re.compile(rf"(?:[{re.escape(END_MARKS)}]+(?:[{re.escape(CLOSERS)}\"“']|[ \xa0\u202f]»)*)+")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-_THAI_GAP = re.compile(r"(?<=[฀-๿])[ \t\n\xa0]+(?=\S)|(?<=[฀-๿][ \xa0])(?=[0-9])")
+_THAI_GAP = re.compile(r"(?<=[฀-๿])[ \t\n\xa0]+(?=\S)")
 _THAI = re.compile("[฀-๿]")
-_INSERTED = re.compile(rf"[^฀-๿{_CJK}ऀ-ॿ؀-ۿ]*")
-_WIDE = re.compile("[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-鿿가-힣豈-﫿︰-﹏＀-｠￠-￦]")
+_WIDE = re.compile(f"[{_WIDE_CLASS}]")
 
 #: Shortest and longest width that lines are wrapped to.
 NARROWEST, WIDEST = 20, 120
@@ -179,106 +258,67 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _tables(text: str) -> list[tuple[bool, re.Pattern | None, re.Pattern | None]]:
-    rules = []
-    latin = _SCRIPT["en"].search(text)
-    for lang in ("en", "de", "fr", "es"):
-        if latin:
-            rules += _COMPILED[lang]
-    for lang in ("hi", "ar"):
-        if _SCRIPT[lang].search(text):
-            rules += _COMPILED[lang]
-    return rules + _COMPILED["common"]
+@lru_cache(maxsize=4096)
+def _cascade(langs: tuple[str, ...]) -> list[Rule]:
+    return [rule for lang in ("marks", *langs, "common") for rule in TABLES[lang]]
+
 
+def _tables(text: str, a: int, b: int, scripts: tuple[str, ...], latin: bool) -> list[Rule]:
+    """The cascade for a paragraph."""
+    if not latin or not _LATIN.search(text, a, b):
+        return _cascade(scripts)
+    hits = Counter(lang for w in _SMALL_RE.findall(text, a, b) for lang in _SMALL[w])
+    return _cascade((*sorted(SMALL_WORDS, key=lambda lang: -hits[lang]), *scripts))
 
-def _closed(sentence: str, marks: str) -> tuple[int, bool]:
-    """How many of the trailing characters ``marks`` belong to the sentence; whether they close its opening quote."""
-    taken, whole = 0, False
-    body = sentence.lstrip()
+
+def _closed(sentence: str, marks: str) -> int:
+    """How many of the trailing characters ``marks`` belong to the sentence."""
     for i, c in enumerate(marks):
         if c in '“"':
             so_far = sentence + marks[:i]
             is_open = so_far.count("„") > so_far.count("“") if c == "“" else so_far.count('"') % 2 == 1
             if not is_open:
-                break
-        partner = QUOTES.get(body[:1])
-        if partner == c and (sentence + marks[:i]).count(c) - (c == body[:1]) == 0:
-            whole = True
-        taken = i + 1
-    return taken, whole
+                return i
+    return len(marks)
+
 
+def _first(rules: list[Rule], text: str, start: int, at: int, stop: int) -> bool:
+    for rule in rules:
+        if rule.fits(text, start, at, stop):
+            return rule.brk
+    return False
 
-def _ends(text: str, a: int, b: int, rules: list) -> Iterator[int]:
+
+def _ends(text: str, a: int, b: int, rules: list[Rule]) -> Iterator[int]:
     """End offsets (exclusive) of the sentences of one paragraph."""
     start = a
-    thai = [m.start() for m in _THAI_GAP.finditer(text, a, b) if _thai_end(text, m.start(), m.end(), b)] if _THAI.search(text, a, b) else []
-    marks = [(m.start(), m.end()) for m in _MARKS.finditer(text, a, b)]
-    spots = sorted([(e, s) for s, e in marks] + [(t, -1) for t in thai])
+    thai = [m.start() for m in _THAI_GAP.finditer(text, a, b) if _first(TABLES["th"], text, a, m.start(), b)] if _THAI.search(text, a, b) else []
+    spots = sorted([(m.end(), m.start()) for m in _MARKS.finditer(text, a, b)] + [(at, -1) for at in thai])
     for end, mark in spots:
-        if mark < 0:
-            if end > start:
-                yield end
-                start = end
-            continue
-        if end >= b or mark < start:
+        if end >= b or mark < 0 and end <= start or 0 <= mark < start:
             continue
-        run = text[mark:end]
-        if len(run) == 1 and run in "。！？।؟" and text[end] not in "，、；：,;:":
-            yield end
-            start = end
-            continue
-        lead = len(run) - len(run.lstrip(END_MARKS))
-        if lead < len(run):
-            taken, whole = _closed(text[start : mark + lead], run[lead:])
-            end = mark + lead + taken
-            nxt = text[end:b].lstrip()[:1]
-            if whole and nxt and nxt not in END_MARKS and nxt.isalpha() and not (nxt.isupper() and nxt.lower() != nxt):
-                continue
-            run = run[: lead + taken]
-        before, after = text[max(start, end - 24) : end], text[end : min(b, end + 16)]
-        if run[-1] not in ".…":
-            # end marks other than the full stop are only undone by text that goes on
-            rest = after.lstrip()
-            if rest[:1] in ",;:、，；：،؛" and rest or rest[:1].islower() and rest[:1].upper() != rest[:1]:
+        if mark >= 0:
+            run = text[mark:end]
+            lead = len(run) - len(run.lstrip(END_MARKS))
+            if lead < len(run):  # which of the closing marks belong to the sentence
+                end = mark + lead + _closed(text[start : mark + lead], run[lead:])
+            if not _first(rules, text, start, end, b):
                 continue
-            if rest:
-                yield end
-                start = end
-            continue
-        if run[-1] == "…" and (len(run) > 1 or not after[:1].isspace()) and not after.lstrip()[:1].islower() and after.lstrip()[:1] not in ",;:、，；：":
-            yield end
-            start = end
-            continue
-        for brk, pre, post in rules:
-            if (post is None or post.match(after)) and (pre is None or pre.search(before)):
-                if brk:
-                    yield end
-                    start = end
-                break
+        yield end
+        start = end
     if start < b:
         yield b
 
 
-def _thai_end(text: str, gap: int, after: int, b: int) -> bool:
-    c = text[after]
-    if "฀" <= c <= "๿":
-        return True
-    if _WIDE.match(c) or "ऀ" <= c <= "ॿ" or "؀" <= c <= "ۿ" or c in "“「『":
-        return True
-    run = _INSERTED.match(text, after, b)[0]
-    if after + len(run) < b and _WIDE.match(text[after + len(run)]):
-        return True
-    return len(run.split()) > 3 or any(x in run for x in ("? ", "! "))
-
-
 def sentence_ends(text: str | None) -> list[int]:
     """1-based code point positions of the last character of each sentence; [] for a null or blank text."""
     if not text or text.isspace():
         return []
-    rules = _tables(text)
+    scripts = tuple(lang for lang, has in _SCRIPT.items() if has.search(text))
+    latin = _LATIN.search(text) is not None
     out = []
     for a, b in paragraphs(text):
-        for end in _ends(text, a, b, rules):
+        for end in _ends(text, a, b, _tables(text, a, b, scripts, latin)):
             while end > a and text[end - 1].isspace():
                 end -= 1
             if not out or end > out[-1]:

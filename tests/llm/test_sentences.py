@@ -71,3 +71,26 @@ def test_a_long_line_does_not_settle_the_document():
     assert len(cut(f"{block}\n\n{'Nothing stops here and so on ' * 8}end.")) == 2
     lines = "\n".join(f"{'Each line is a paragraph of its own ' * 4}{i}" for i in range(6))
     assert len(cut(f"{lines}\n\n{block}")) == 7
+
+
+def test_abbreviations_by_language():
+    def cut(text):
+        ends = sentences.sentence_ends(text)
+        return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+
+    assert cut("См. рис. 3. Затем читайте дальше.") == ["См. рис. 3.", "Затем читайте дальше."]
+    assert cut("Это было в 1999 г. в Москве. Потом всё.") == ["Это было в 1999 г. в Москве.", "Потом всё."]
+    assert cut("Choose Plan B. Then we go.") == ["Choose Plan B.", "Then we go."]
+    assert cut("He got an A. She left.") == ["He got an A.", "She left."]
+    assert cut("J. K. Meyer wrote it. He left.") == ["J. K. Meyer wrote it.", "He left."]
+    assert cut("Il Sig. Rossi arriva. Poi parte.") == ["Il Sig. Rossi arriva.", "Poi parte."]
+    assert cut("O Sr. Silva chegou. Depois saiu.") == ["O Sr. Silva chegou.", "Depois saiu."]
+    assert cut("彼は「終わった。」と言った。次へ。") == ["彼は「終わった。」と言った。", "次へ。"]
+    long = "word " * 40 + "Dr." + " " * 40 + "Meyer came. He left."
+    assert len(cut(long)) == 2  # what stands before and after is not cut to a width
+
+
+def test_every_decision_is_a_rule():
+    for rows in sentences.RULES.values():
+        assert all(isinstance(brk, bool) for brk, _, _ in rows)
+    assert sentences.RULES["common"][-1] == (True, "", "") and sentences.RULES["th"][-1] == (False, "", "")
