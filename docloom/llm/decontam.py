@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 #: 1 = the token counts, 0 = it is ignored.
 MASKS = ("11111111", "1111011110", "1101111011", "1011110111", "1110110111")
-#: Share of the passage that must be covered: half, less what a boundary between sentences of unlike length may take.
-COVER = 0.47
+#: Share of the passage that must be covered, and of its places that must be hit before it is aligned token by token.
+COVER, LOOK = 0.5, 0.12
 #: Shortest stretch in matching tokens that is no chance: words, and letters of scripts without spaces.
 LEAST_WORDS, LEAST_LETTERS = 9, 13
 #: Items in one broadcast block of the test side; more items take more passes over the documents.
@@ -73,6 +73,14 @@ def _hashes(ids: np.ndarray, mask: int, spots: np.ndarray) -> np.ndarray:
     return h
 
 
+def _whole(ids: np.ndarray, n: int, spots: np.ndarray) -> np.ndarray:
+    """Hash of the ``n`` tokens at each of the places."""
+    h = np.full(len(spots), n, dtype=np.uint64)
+    for j in range(n):
+        h = (h ^ ids[spots + j]) * _MULT[j]
+    return h
+
+
 def _places(ids: np.ndarray, mask: int) -> np.ndarray:
     """Places with enough known tokens under the mask to have a hash."""
     span = len(MASKS[mask])
@@ -83,11 +91,18 @@ def _places(ids: np.ndarray, mask: int) -> np.ndarray:
 class Index:
     """The seeds of one block of passages."""
 
-    def __init__(self, passages: list[tuple[list[str], list]]):
+    def __init__(self, passages: list[tuple[list[str], list]], cover: float = COVER, look: float = LOOK):
+        self.cover, self.look = cover, look
         self.vocabulary: dict[str, int] = {}
         self.items = [items for _, items in passages]
         self.ids = [np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in toks], dtype=np.uint64) for toks, _ in passages]
         self.letters = [sum(len(t) == 1 and t > "\u0e00" for t in toks) * 2 > len(toks) for toks, _ in passages]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(x) for x in self.ids if len(x) < len(MASKS[0])}:
+            who = np.array([p for p, x in enumerate(self.ids) if len(x) == n])
+            codes = np.array([_whole(self.ids[p], n, np.zeros(1, dtype=np.int64))[0] for p in who])
+            order = np.argsort(codes)
+            self.short[n] = codes[order], who[order]
         keys, owner, place = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for p, ids in enumerate(self.ids):
             for m in range(len(MASKS)):
@@ -113,12 +128,13 @@ class Index:
             starts.append(at)
             at += len(ids) + _SPAN
             arrays.append(np.array(ids + gap, dtype=np.uint64))
-        if not arrays or not len(self.unique):
+        if not arrays:
             return
         ids = np.concatenate(arrays)
         starts = np.array(starts)
+        yield from self._short(ids, starts)
         where, owner, place = [], [], []
-        for m in range(len(MASKS)):
+        for m in range(len(MASKS)) if len(self.unique) else ():
             spots = _places(ids, m)
             h = _hashes(ids, m, spots)
             near = (h != 0) & self.bits[(h >> np.uint64(42)).astype(np.int64)]
@@ -132,15 +148,15 @@ class Index:
             where.append(np.repeat(spots, many))
             owner.append(self.owner[rows])
             place.append(self.place[rows])
-        where, owner, place = np.concatenate(where), np.concatenate(owner), np.concatenate(place)
+        where, owner, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (where, owner, place))
         if not len(where):
             return
         doc = np.searchsorted(starts, where, side="right") - 1
         pair = doc.astype(np.int64) * len(self.ids) + owner
-        # places of each passage that are hit in each document; a quarter of what is asked for is enough to look closer
+        # places of each passage that are hit in each document: with enough of them it is looked at more closely
         spot = np.unique(pair * (1 << 20) + np.minimum(place, (1 << 20) - 1))
         pairs, hits = np.unique(spot >> 20, return_counts=True)
-        likely = pairs[hits >= 0.12 * self.lengths[pairs % len(self.ids)]]
+        likely = pairs[hits >= self.look * self.lengths[pairs % len(self.ids)]]
         if not len(likely):
             return
         order = np.argsort(pair, kind="stable")
@@ -151,6 +167,16 @@ class Index:
             if self.covered(arrays[d], p, np.unique(where[a:b] - starts[d] - place[a:b])):
                 yield d, p
 
+    def _short(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Passages of fewer tokens than a mask sees stand in a document only as they are."""
+        known = np.concatenate([[0], np.cumsum(ids != 0)])
+        for n, (codes, who) in self.short.items():
+            spots = np.flatnonzero(known[n:] - known[:-n] == n)
+            code = _whole(ids, n, spots)
+            lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, side="right")
+            seen = {(int(np.searchsorted(starts, spots[i], side="right")) - 1, int(p)) for i in np.flatnonzero(hi > lo) for p in who[lo[i] : hi[i]] if (ids[spots[i] : spots[i] + n] == self.ids[p]).all()}
+            yield from sorted(seen)
+
     def covered(self, doc: np.ndarray, p: int, diagonals: np.ndarray) -> bool:
         """Whether stretches on these diagonals (place in document less place in passage), in order, cover enough."""
         passage = self.ids[p]
@@ -196,24 +222,25 @@ class Index:
                     over = max(0, b2 - a)
                     if b - a > over:
                         total[i] = max(total[i], total[j] + b - a - over)
-        return max(total) >= COVER * n
+        return max(total) >= self.cover * n
 
 
 def passages_of(items: list[tuple[object, str]]) -> list[tuple[list[str], list]]:
-    """Distinct passages as tokens, with the items that share each; too short to tell from chance ones left out."""
+    """Distinct passages as tokens, with the items that share each."""
     groups: dict[tuple[str, ...], list] = {}
     for item, text in items:
         groups.setdefault(tuple(tokens(text)), []).append(item)
-    return [(list(toks), sorted(set(ids))) for toks, ids in sorted(groups.items()) if len(toks) >= len(MASKS[0])]
+    return [(list(toks), sorted(set(ids))) for toks, ids in sorted(groups.items()) if toks]
 
 
-def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, *, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_key, item_key): documents that hold at least half of an item's passage.
+def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, *, block_items: int = BLOCK_ITEMS, cover: float = COVER, look: float = LOOK) -> DataFrame:
+    """(doc_key, item_key): documents that hold at least ``cover`` (half) of an item's passage.
 
     ``items`` is the held-out set. It is read in ``ceil(items / block_items)`` blocks; each is collected (so at most
     ``block_items`` passages at a time), indexed and broadcast, and the documents are scanned once per block without a
-    shuffle. Null or blank texts and passages take no part; a passage of fewer than eight tokens cannot be told from
-    chance and gives no rows; all items that share a passage are reported; rows are distinct for distinct documents.
+    shuffle. Null or blank texts and passages take no part; a passage of fewer than eight tokens must stand in the document
+    whole, token by token. A passage is aligned only where ``look`` of its places are hit by a seed, which one changed word
+    in five leaves and one in four does not; all items that share a passage are reported; rows are distinct for distinct documents.
     Only the named columns are read. Long texts are read whole.
     """
     spark = docs.sparkSession
@@ -225,10 +252,10 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     out = None
     for b in range(blocks):
         part = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(passages_of([(r["item"], r["passage"]) for r in part.toLocalIterator()]))
+        index = spark.sparkContext.broadcast(Index(passages_of([(r["item"], r["passage"]) for r in part.toLocalIterator()]), cover, look))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            built = Index(index.value)
+            built = index.value
             for pdf in batches:
                 keys, texts = pdf["doc"].tolist(), pdf["text"].tolist()
                 at = 0

@@ -32,3 +32,21 @@ def test_find(spark):
         assert got == {(i, j) for i in held for j in (100, 101)} | {(9, 102)}
     assert decontam.find_leaks(d.limit(0), "doc_id", "text", e, "item_id", "passage").count() == 0
     assert decontam.find_leaks(d, "doc_id", "text", e.limit(0), "item_id", "passage").count() == 0
+
+
+def test_short_passages_and_share(spark):
+    docs = [(1, "They said: 'Quartz  never sleeps' and left."), (2, "quartz sleeps never"), (3, OTHER + S[1] + OTHER)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(1, "Quartz never sleeps!"), (2, "石英"), (3, P1)], "item_id long, passage string")
+    found = lambda **k: {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, "doc_id", "text", e, "item_id", "passage", **k).collect()}
+    assert found() == {(1, 1)}
+    assert found(cover=0.25) == {(1, 1), (3, 3)}
+
+
+def test_changed_words(spark):
+    """One changed word in five is found, one in four is not: the limit of the masks."""
+    words = P1.split()
+    for step, held in ((5, 1), (4, 0)):
+        text = " ".join("x" if i % step == step - 1 else w for i, w in enumerate(words))
+        index = decontam.Index(decontam.passages_of([(1, P1)]))
+        assert len(list(index.find([text]))) == held
