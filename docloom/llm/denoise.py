@@ -468,12 +468,12 @@ def counts(texts: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> pd.DataFrame:
-            for (a, b), n in pairs.items():
-                c[f"b{a} {b}"] = n
+            c.update({"w" + w: n for w, n in single.items()})
+            c.update({f"b{a} {b}": n for (a, b), n in pairs.items()})
             c.update({x: n for x, n in letters.items() if x > "⹿"})
             return pd.DataFrame({"token": list(c), "n": list(c.values())})
 
-        c, pairs, letters = Counter(), Counter(), Counter()
+        c, single, pairs, letters = Counter(), Counter(), Counter(), Counter()
         for pdf in batches:
             for t in pdf["text"]:
                 if _WIDE.search(t):
@@ -482,15 +482,15 @@ def counts(texts: DataFrame, text: str) -> DataFrame:
                     c.update(_INTO.findall(flat))
                     c.update(_OUT_OF.findall(flat))
                 words = [w for w in _WORD.findall(t.lower()) if w < "⺀"]
-                c.update(["w" + w for w in words])
+                single.update(words)
                 plain = words
                 if "-" in t:
                     plain = [x for w in words for x in w.split("-")]
-                    c.update("w" + x for w in words if "-" in w for x in w.split("-"))
+                    single.update([x for w in words if "-" in w for x in w.split("-")])
                 pairs.update(zip(plain, plain[1:]))
-            if len(c) + len(pairs) > 300_000:
+            if len(c) + len(single) + len(pairs) > 300_000:
                 yield rows()
-                c, pairs, letters = Counter(), Counter(), Counter()
+                c, single, pairs, letters = Counter(), Counter(), Counter(), Counter()
         yield rows()
 
     parts = texts.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(run, "token string, n long")
@@ -661,6 +661,14 @@ def _asked(r: Running, frequent: dict, worth: np.ndarray, readable: np.ndarray)
     return {k for k in out if k not in frequent}
 
 
+def _answer(line: str) -> tuple[str, object]:
+    key, n, found = line.split("\t")
+    if found == "-":
+        return key, int(n)
+    forms = [f.split(" ") for f in found.split("|")] if found else []
+    return key, (int(n), [(r, int(m), tuple(map(int, used.split(",")))) for r, m, used in forms])
+
+
 def _labelled(nodes: DataFrame, schema: str, rows_of) -> DataFrame:
     spark = nodes.sparkSession
     table = cut(counts(nodes, "text"))
@@ -690,7 +698,10 @@ def _labelled(nodes: DataFrame, schema: str, rows_of) -> DataFrame:
     answers = table.filter((is_word | is_pair) & of_words).select(F.col("token").alias("key"), "n", none.alias("found"))
     answers = answers.unionByName(known.select(F.concat(F.lit("r"), "word").alias("key"), "n", "found"))
     got = pages.select("node", "text", "kinds").mapInPandas(ask, "node long, key string").join(answers, "key")
-    got = got.groupBy("node").agg(F.collect_list(F.struct("key", "n", "found")).alias("got"))  # of one node's words
+    # of one node's words; as text, which reaches Python much faster than nested arrays
+    forms = F.transform("found", lambda f: F.concat_ws(" ", f["reading"], f["n"].cast("string"), F.array_join(f["used"].cast("array<string>"), ",")))
+    line = F.concat_ws("\t", "key", F.col("n").cast("string"), F.coalesce(F.array_join(forms, "|"), F.lit("-")))
+    got = got.groupBy("node").agg(F.array_join(F.collect_list(line), "\n").alias("got"))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -699,7 +710,7 @@ def _labelled(nodes: DataFrame, schema: str, rows_of) -> DataFrame:
         for pdf in batches:
             out = []
             for d, p, t, kinds, answered in zip(pdf["doc_id"], pdf["pos"], pdf["text"], pdf["kinds"], pdf["got"]):
-                own.asked = {a["key"]: a["n"] if a["found"] is None else (a["n"], [(f["reading"], f["n"], tuple(f["used"])) for f in a["found"]]) for a in (answered if answered is not None else ())}
+                own.asked = dict(map(_answer, answered.split("\n"))) if answered else {}
                 out += [(d, p, *row) for row in rows_of(label(t, kinds, own))]
             yield pd.DataFrame(out, columns=names)
 
