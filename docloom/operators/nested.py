@@ -143,20 +143,19 @@ def triples(text: str | None, root: str = "structure", children: str = "nodes",
 
 
 def _locate(text: str, key: str) -> tuple[str | None, ...] | None:
-    """Keys (None: any element of a list) that lead to the outermost object with ``key`` over an object or a list."""
+    """Keys (None: any element of a list) that lead to the outermost object with ``key``, whatever stands under it."""
     best: tuple[str | None, ...] | None = None
     way: list[str | None] = []  # the key, or None in a list, that each open bracket but the first stands under
     opened: list[str] = []
-    last, armed = None, False
+    last = None
     for kind, value in events(text):
         if kind == "key":
-            last, armed = value, value == key
-            continue
-        if kind in ("{", "["):
-            if armed and opened[-1] == "{":
-                best = tuple(way) if best is None or len(way) < len(best) else best
+            last = value
+            if value == key and (best is None or len(way) < len(best)):
+                best = tuple(way)
                 if not way:
                     return best
+        elif kind in ("{", "["):
             if opened:
                 way.append(last if opened[-1] == "{" else None)
             opened.append(kind)
@@ -164,7 +163,6 @@ def _locate(text: str, key: str) -> tuple[str | None, ...] | None:
             opened.pop()
             if way:
                 way.pop()
-        armed = False
     return best
 
 
