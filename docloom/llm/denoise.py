@@ -20,11 +20,12 @@ None of the passes gathers a document in one task:
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -42,6 +43,10 @@ LONG_LINES, LONG_IN_NODE = 0.02, 0.5
 FREQUENT = 1e-5
 #: Bits of the sets that say which words have readings, and which are readings.
 BITS = 1 << 22
+#: Characters and rows of a frame that a pass returns, but for a single longer row: Arrow takes 2 GB of a column at most.
+FRAME_CHARS, FRAME_ROWS = 1 << 24, 100_000
+#: Longest word that is its own key in counts; a longer one goes by its digest. Characters and words that are counted at once.
+LONGEST, SLICE, AT_ONCE = 100, 1 << 20, 4_000_000
 #: Odds of a misread word or character against a rightly read one before the counts are seen; how far the learned
 #: probability of a confusion may move them, and what neighbours on each side may.
 WORD_ODDS, LETTER_ODDS, MOVE, CONTEXT = 0.15, 0.3, 3.0, 6.0
@@ -61,9 +66,7 @@ LIKE = {c: [x for x in group if x != c] for group in LOOK_ALIKE for c in group}
 #: Words that head the figures of a table.
 TOTALS = {"total", "summe", "合计", "sum", "合計", "小计"}
 
-_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_INTO = re.compile("(?=(.[" + "".join(LIKE) + "]))", re.S)
-_OUT_OF = re.compile("(?=([" + "".join(LIKE) + "][^" + "".join(LIKE) + "]))", re.S)
+_LIKES = re.compile("[" + "".join(LIKE) + "]+")
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
 _BROKEN = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[-‐‑¬\xad]\s*$")
 _HYPHENS = "-‐‑¬\xad"
@@ -153,31 +156,58 @@ def _same(form: str, known: str) -> bool:
 
 def candidates(word: str, edits: int = 1) -> Iterator[tuple[str, tuple[int, ...]]]:
     """(reading, confusions by number in :data:`PAIRS`) of a word, all of letters, that differ by so many confusions."""
-    seen = {word}
-    level: dict[str, tuple[int, ...]] = {word: ()}
-    for k in range(edits):
-        made: dict[str, tuple[int, ...]] = {}
-        for form, used in level.items():
+    seen, level = {name(word)}, [(word, ())]
+    for left in range(edits - 1, -1, -1):
+        made: list[tuple[str, tuple[int, ...]]] = []
+        for form, used in level:
             for number, (read, written) in enumerate(PAIRS):
                 at = form.find(read)
                 while at >= 0:
                     other = form[:at] + written + form[at + len(read) :]
-                    if other not in seen and other not in made:
-                        made[other] = (*used, number)
+                    key = other if len(other) <= LONGEST else name(other)
+                    if key not in seen:
+                        seen.add(key)
+                        if left:
+                            made.append((other, (*used, number)))
+                        elif other.isalpha():
+                            yield other, (*used, number)
                     at = form.find(read, at + 1)
-        seen.update(made)
         level = made
-    yield from ((form, used) for form, used in level.items() if form.isalpha())
 
 
 def bit(key: str) -> int:
     return zlib.crc32(key.encode()) % BITS
 
 
+def name(word: str) -> str:
+    """The key of a word: itself, or the digest of a long one, which may stand in any number of pairs."""
+    return word if len(word) <= LONGEST else "\x01" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=20).hexdigest()
+
+
+def frames(rows: Iterable[tuple], columns: list[str], texts: int = 1) -> Iterator[pd.DataFrame]:
+    """The rows in frames of a bounded number of characters and rows; one without rows if there are none.
+
+    Only the first columns, as many as ``texts``, are counted.
+    """
+    # an empty list would become a column of floats, which Arrow does not make one array of texts of
+    frame = lambda: pd.DataFrame({c: [r[i] for r in out] for i, c in enumerate(columns)}, dtype=None if out else object)
+    out: list[tuple] = []
+    size, spots = 0, range(texts)
+    for row in rows:
+        more = len(row[0]) if texts == 1 else sum([len(row[i] or "") for i in spots])
+        if out and (size + more > FRAME_CHARS or len(out) >= FRAME_ROWS):
+            yield frame()
+            out, size = [], 0
+        out.append(row)
+        size += more
+    yield frame()
+
+
 class Model:
     """Counts of characters, of frequent words and pairs, of what one node asked for; and the decisions that rest on them.
 
-    ``words``: "w" + word and "b" + word + " " + word to counts; "r" + word to (count, [(reading, count, confusions)]).
+    ``words``: "w" + word and "b" + word + " " + word to counts; "r" + word to (count, [(reading, count, confusions)]), all by
+    their :func:`name`.
     ``odds``: of each confusion, by its number.
     """
 
@@ -187,17 +217,26 @@ class Model:
         self.total = max(1, sum(v for k, v in pairs.items() if len(k) == 1))
         self.all_words = max(1, total)
         self.asked: dict[str, object] = {}
+        self.kept: dict[str, list[tuple[str, float]]] = {}  # readings of broadcast words
+        self.runs: dict[tuple[str, str, str], tuple[str, ...]] = {}  # likely characters between two neighbours
 
     def get(self, key: str):
         return self.asked.get(key) or self.words.get(key)
 
     def readings(self, word: str) -> list[tuple[str, float]]:
         """(form, log of odds times count) of a word: itself first."""
-        own, found = self.get("r" + word) or (0, ())
+        if word in self.kept:
+            return self.kept[word]
+        key = "r" + name(word)
+        own, found = self.get(key) or (0, ())
         out = [(word, math.log(max(own, 0.1)))]
         mixed = not word.isalpha()
         for reading, n, used in found:
+            if reading[0] == "\x01":  # the name of a long one
+                reading = next(form for form, _ in _possible(word, len(used)) if name(form) == reading)  # noqa: PLW2901
             out.append((reading, math.log(n) + (0.0 if mixed else sum(math.log(self.odds[i]) for i in used))))
+        if key in self.words:
+            self.kept[word] = out
         return out
 
     def misread(self, token: str) -> str | None:
@@ -208,41 +247,45 @@ class Model:
 
     def lift(self, a: str, b: str, less: int) -> float:
         """Log of how much more often the words stand side by side than by chance; ``less`` own occurrences do not count."""
+        a, b = name(a), name(b)
         together = max(0, (self.get(f"b{a} {b}") or 0) - less)
         chance = (self.get("w" + a) or 0) * (self.get("w" + b) or 0) / self.all_words
         most = math.log(CONTEXT)
         return min(most, max(-most, math.log((together + SMOOTH) / (chance + SMOOTH))))
 
-    def line(self, tokens: list[str], run: Running) -> list[str | None]:
-        """The likely reading of each token of a line, or None where it was read rightly: Viterbi over candidate words.
+    def line(self, low: list[str], run: Running) -> list[tuple[int, str]]:
+        """(number, likely reading) of the words of a line that were misread: Viterbi over candidate words.
 
         How often words stand side by side in this text itself does not count: what a misread word stands beside is no
-        evidence for it (each text may have been counted twice).
+        evidence for it (each text may have been counted twice). Words without choice part the line.
         """
-        low = [x.lower() for x in tokens]
-        words, asked = self.words, self.asked
-        if not any(("r" + x) in asked or ("r" + x) in words for x in low):
-            return [None] * len(tokens)
-        states = [self.readings(x) for x in low]
-        paths: list[tuple[float, tuple[str, ...]]] = [(score, (form,)) for form, score in states[0]]
-        for i in range(1, len(low)):
-            if len(states[i]) == len(states[i - 1]) == 1:  # nothing to choose between
-                paths = [(s, (*p, low[i])) for s, p in paths]
+        kept, asked, words = self.kept, self.asked, self.words
+        states = [kept.get(x) or (self.readings(x) if (r := "r" + x) in asked or r in words or len(x) > LONGEST else (None,)) for x in low]
+        out = []
+        end = 0
+        for i in range(len(low)):
+            if i < end or len(states[i]) == 1:
                 continue
-            own = 2 * run.beside[low[i - 1], low[i]]
-            step = []
-            for form, score in states[i]:
-                s, p = max(((s + self.lift(p[-1], form, own if (p[-1], form) == (low[i - 1], low[i]) else 0), p) for s, p in paths), key=lambda x: x[0])
-                step.append((s + score, (*p, form)))
-            paths = step
-        best = max(paths, key=lambda x: x[0])[1]
-        return [None if form == word else _case(token, form) for token, word, form in zip(tokens, low, best)]
+            end = i
+            while end < len(low) and len(states[end]) > 1:
+                end += 1
+            paths: list[tuple[float, tuple[str, ...]]] = [(0.0, (low[i - 1],))] if i else [(score, ("", form)) for form, score in states[0]]
+            for k in range(max(i, 1), min(end + 1, len(low))):
+                own = 2 * run.beside[low[k - 1], low[k]]
+                step = []
+                for form, score in states[k] if k < end else ((low[k], 0.0),):
+                    s, p = max(((s + self.lift(p[-1], form, own if (p[-1], form) == (low[k - 1], low[k]) else 0), p) for s, p in paths), key=lambda x: x[0])
+                    step.append((s + score, (*p, form)))
+                paths = step
+            best = max(paths, key=lambda x: x[0])[1]
+            out += [(k, form) for k, form in zip(range(i, end), best[1:]) if form != low[k]]
+        return out
 
     def joined(self, left: str, right: str) -> tuple[str, str | None]:
         """("join" | "keep", likely reading of the joined word if it was misread) of a word divided at a line end."""
         low_l, low_r = left.lower(), right.lower()
         part = low_l.rsplit("-", 1)[-1]
-        count = lambda w: (self.get("r" + w) or (0,))[0]
+        count = lambda w: (self.get("r" + name(w)) or (0,))[0]
         join = max(count(low_l + low_r), count(part + low_r))
         keep = max(count(f"{low_l}-{low_r}"), count(f"{part}-{low_r}"))
         if not join and not keep:
@@ -254,31 +297,30 @@ class Model:
     def letters(self, text: str) -> list[tuple[int, str]]:
         """(place, likely reading) of misread characters of a script without spaces, by Viterbi over the candidates."""
         out = []
-        n = len(text)
-        i = 0
-        stay, flip = math.log(1 - LETTER_ODDS), math.log(LETTER_ODDS)
-        while i < n:
-            if text[i] not in LIKE:
-                i += 1
-                continue
-            j = i
-            while j < n and text[j] in LIKE:
-                j += 1
-            before, after = text[i - 1] if i else "", text[j] if j < n else ""
-            states = [(0.0, before, ())]
-            for k in range(i, j):
-                step = []
-                for c in (text[k], *LIKE[text[k]]):
-                    if c != text[k] and not self.pairs.get(c):
-                        continue
-                    score, _, path = max(((s + self._next(p, c), p, path) for s, p, path in states), key=lambda x: x[0])
-                    step.append((score + (stay if c == text[k] else flip), c, (*path, c)))
-                states = step
-            _, _, best = max(((s + self._next(p, after), p, path) for s, p, path in states), key=lambda x: x[0])
-            out += [(i + k, c) for k, c in enumerate(best) if c != text[i + k]]
-            i = j
+        for m in _LIKES.finditer(text):
+            i, j = m.span()
+            key = text[i - 1] if i else "", m[0], text[j : j + 1]
+            best = self.runs.get(key)
+            if best is None:
+                if len(self.runs) > 100_000:
+                    self.runs.clear()
+                best = self.runs[key] = self._run(*key)
+            out += [(i + k, c) for k, c in enumerate(best) if c != m[0][k]]
         return out
 
+    def _run(self, before: str, text: str, after: str) -> tuple[str, ...]:
+        stay, flip = math.log(1 - LETTER_ODDS), math.log(LETTER_ODDS)
+        states = [(0.0, before, ())]
+        for own in text:
+            step = []
+            for c in (own, *LIKE[own]):
+                if c != own and not self.pairs.get(c):
+                    continue
+                score, _, path = max(((s + self._next(p, c), p, path) for s, p, path in states), key=lambda x: x[0])
+                step.append((score + (stay if c == own else flip), c, (*path, c)))
+            states = step
+        return max(((s + self._next(p, after), p, path) for s, p, path in states), key=lambda x: x[0])[2]
+
     def _next(self, a: str, b: str) -> float:
         if not a or not b:
             base = (self.pairs.get(a or b, 0) + 0.5) / self.total if b else 1.0
@@ -348,15 +390,14 @@ class Running:
             self.divided.append((a, b, m.end(1), re.search(r"[\w!@$|-]*$", self.lines[a][: m.end(1)])[0], n[0]))
 
     @cached_property
-    def words(self) -> dict[int, list[tuple[int, str]]]:
-        """(place, word) by line."""
-        return {i: [(m.start(), m[0]) for m in _TOKEN.finditer(self.lines[i])] for i in self.at if _has_words(self.lines[i])}
+    def low(self) -> dict[int, list[str]]:
+        """Words by line, in small letters."""
+        found = {i: _TOKEN.findall(self.lines[i]) for i in self.at if _has_words(self.lines[i])}
+        return {i: "\n".join(words).lower().split("\n") for i, words in found.items() if words}
 
-    def tokens(self) -> set[str]:
-        """What readings may be asked for, in small letters."""
-        out = set(_TOKEN.findall("\n".join([self.lines[i] for i in self.at]).lower()))
-        out.update([x[:-1] for x in out if x[-1] in "!|" and len(x) > 2])
-        return {x for x in out if len(x) > 1}
+    def running(self) -> str:
+        """The running text in small letters."""
+        return "\n".join([self.lines[i] for i in self.at]).lower()
 
     def joins(self) -> set[str]:
         """The words that divided words may be halves of."""
@@ -370,15 +411,25 @@ class Running:
     @cached_property
     def beside(self) -> Counter:
         """How often words stand side by side."""
-        return Counter((a[1].lower(), b[1].lower()) for words in self.words.values() for a, b in zip(words, words[1:]))
+        out: Counter = Counter()
+        for low in self.low.values():
+            out.update(zip(low, low[1:]))
+        return out
+
+
+def tokens(running: str) -> set[str]:
+    """What readings of a running text may be asked for."""
+    out = set(_TOKEN.findall(running))
+    out.update([x[:-1] for x in out if x[-1] in "!|" and len(x) > 2])
+    return {x for x in out if len(x) > 1}
 
 
 def _has_words(line: str) -> bool:
     return line.isascii() or not _WIDE.search(line) or re.search("[A-Za-z]{3}", line) is not None
 
 
-def label(text: str, kinds: str, model: Model) -> tuple[list[tuple[int, str]], list[str]]:
-    """([(line_no, noise)], repaired paragraphs) of one node of a scanned document, whose lines are of these kinds."""
+def label(text: str, kinds: str, model: Model, repair: bool = True) -> tuple[list[tuple[int, str]], list[str]]:
+    """([(line_no, noise)], repaired paragraphs if wanted) of one node of a scanned document, whose lines are of these kinds."""
     run = Running(text, kinds)
     lines = run.lines
     found: list[tuple[int, str]] = [(i + 1, "page_no" if k == PAGE else "header") for i, k in enumerate(kinds) if k in (PAGE, HEAD)]
@@ -386,8 +437,9 @@ def label(text: str, kinds: str, model: Model) -> tuple[list[tuple[int, str]], l
     wrong: set[int] = set()
     # characters: over the running text without its line ends; one for one, so places in the line stay
     if any(_WIDE.search(lines[i]) for i in run.at):
-        owner = [(i, k) for i in run.at for k, c in enumerate(lines[i]) if not c.isspace()]
-        for at, c in model.letters("".join(lines[i][k] for i, k in owner)):
+        changed = model.letters("".join("".join([lines[i] for i in run.at]).split()))
+        owner = [(i, k) for i in run.at for k, c in enumerate(lines[i]) if not c.isspace()] if changed else []
+        for at, c in changed:
             i, k = owner[at]
             wrong.add(i)
             fixed[i] = fixed[i][:k] + c + fixed[i][k + 1 :]
@@ -416,25 +468,31 @@ def label(text: str, kinds: str, model: Model) -> tuple[list[tuple[int, str]], l
             wrong |= {i for i, old, new in ((a, part, halves[0]), (b, right, halves[1])) if old.lower() != new.lower()}
             fixed[a] = fixed[a][: len(fixed[a]) - len(part)] + _case(part, halves[0].lower())
             starts[b] = _case(right, halves[1].lower())
-    for i, words in run.words.items():
-        skip = taken.get(i, (0, 0))
-        line = lines[i]
-        words = [(at, w) for at, w in words if at >= skip[0] and at + len(w) <= len(line) - skip[1]]
-        words = [(at, w[:-1] if w[-1] in "!|" and len(w) > 2 and len(model.readings(w.lower())) == 1 else w) for at, w in words]
-        if not words:
+    for i, low in run.low.items():
+        line, numbers = lines[i], range(len(low))
+        if i in taken:
+            skip = taken[i]
+            numbers = [k for k, m in enumerate(_TOKEN.finditer(line)) if m.start() >= skip[0] and m.end() <= len(line) - skip[1]]
+            low = [low[k] for k in numbers]  # noqa: PLW2901
+        if "!" in line or "|" in line:
+            low = [w[:-1] if w[-1] in "!|" and len(w) > 2 and len(model.readings(w)) == 1 else w for w in low]  # noqa: PLW2901
+        changed = model.line(low, run)
+        if not changed:
             continue
+        wrong.add(i)
+        places = [m.start() for m in _TOKEN.finditer(line)]
         new, shift = fixed[i], 0
-        for (at, token), reading in zip(words, model.line([w for _, w in words], run)):
-            if reading:
-                wrong.add(i)
-                new = new[: at + shift] + reading + new[at + shift + len(token) :]
-                shift += len(reading) - len(token)
+        for k, form in changed:
+            at, size = places[numbers[k]], len(low[k])
+            reading = _case(line[at : at + size], form)
+            new = new[: at + shift] + reading + new[at + shift + size :]
+            shift += len(reading) - size
         fixed[i] = new
     for i, start in starts.items():
         indent = len(lines[i]) - len(lines[i].lstrip())
         fixed[i] = fixed[i][:indent] + start + fixed[i][taken[i][0] :]
     found += [(i + 1, "misread") for i in wrong]
-    return sorted(found), _paragraphs(kinds, lines, fixed, glue)
+    return sorted(found), _paragraphs(kinds, lines, fixed, glue) if repair else []
 
 
 def _paragraphs(kind: str, lines: list[str], fixed: dict[int, str], glue: set[int]) -> list[str]:
@@ -460,38 +518,140 @@ def _paragraphs(kind: str, lines: list[str], fixed: dict[int, str], glue: set[in
     return out
 
 
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter of a word (``[^\\W\\d_]``), and whether it has look-alikes."""
+    letter, like = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+    letter[[ord(c) for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0x110000))))]] = True
+    like[[ord(c) for c in LIKE]] = True
+    return letter, like
+
+
+class _Numbers(dict):
+    """Numbers of words: from 1 for plain ones, -1 for those of wide scripts, from -2 downwards for compounds; 0 ends a text."""
+
+    def __init__(self):
+        super().__init__({"\0": 0})
+        self.plain, self.compounds, self.parts, self.size = ["\0"], [], [], 0
+
+    def __missing__(self, word: str) -> int:
+        self.size += len(word)
+        if word >= "⺀":
+            n = -1
+        elif "-" in word:
+            self.compounds.append(word)
+            self.parts.append([self.part(x) for x in word.split("-")])
+            n = -1 - len(self.compounds)
+        else:
+            n = self.part(word)
+        self[word] = n
+        return n
+
+    def part(self, word: str) -> int:
+        """Parts of compounds count whatever their script."""
+        n = self.get(word, -1)
+        if n < 0:
+            n = len(self.plain)
+            self.plain.append(word)
+            if word < "⺀":
+                self[word] = n
+        return n
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+
+class _Tally:
+    """Counts of :func:`counts` over some texts: words become numbers, and numbers are counted by sorting."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.words: list[np.ndarray] = []
+        self.whole: Counter = Counter()
+        self.letters = np.zeros(0x110000, dtype=np.int64)
+        self.around: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, texts: list[str]) -> None:
+        letter, like = _classes()
+        codes = _codes(" \0 ".join([t.replace("\0", " ") if "\0" in t else t for t in texts]).lower() + " \0 ")
+        known = letter[codes]
+        keep = known | (codes == 0)
+        keep[1:-1] |= (codes[1:-1] == 45) & known[:-2] & known[2:]
+        codes[~keep] = 32
+        split = codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").split()
+        got = np.fromiter(map(self.numbers.__getitem__, split), dtype=np.int64, count=len(split))
+        got = got[got != -1]
+        special = got < 0
+        if special.any():
+            which = (-2 - got[special]).tolist()
+            self.whole.update(which)
+            parts = [self.numbers.parts[k] for k in which]
+            times = np.ones(len(got), dtype=np.int64)
+            times[special] = [len(x) for x in parts]
+            got, special = np.repeat(got, times), np.repeat(special, times)
+            got[special] = [x for part in parts for x in part]
+        self.words.append(got)
+        wide = ["".join(t.split()) for t in texts if not t.isascii() and _WIDE.search(t)]
+        if wide:
+            codes = _codes("".join(wide))
+            found = np.bincount(codes)
+            self.letters[: len(found)] += found
+            near = like[codes]
+            pairs = near[:-1] | near[1:]
+            ends = np.cumsum([len(x) for x in wide])[:-1] - 1
+            pairs[ends] = False
+            self.around.append((codes[:-1] << 32 | codes[1:])[pairs])
+            self.n += len(self.around[-1])
+        self.n += len(got)
+
+    def full(self) -> bool:
+        return self.n > AT_ONCE or self.numbers.size > FRAME_CHARS
+
+    def rows(self) -> Iterator[tuple[str, int]]:
+        both = lambda codes: (x.tolist() for x in (codes >> 32, codes & 0xFFFFFFFF))
+        names = [name(w) for w in self.numbers.plain]
+        words = np.concatenate([*self.words, np.zeros(1, dtype=np.int64)])
+        singles = np.bincount(words, minlength=len(names)).tolist()
+        compounds = self.numbers.compounds
+        yield from (("w" + w, n) for w, n in zip(names[1:], singles[1:]) if n)
+        yield from (("w" + name(compounds[k]), n) for k, n in self.whole.items())
+        inside = (words[:-1] != 0) & (words[1:] != 0)
+        codes, times = np.unique((words[:-1] << 32 | words[1:])[inside], return_counts=True)
+        yield from ((f"b{names[a]} {names[b]}", n) for a, b, n in zip(*both(codes), times.tolist()))
+        wide = 0x2E80 + np.flatnonzero(self.letters[0x2E80:])
+        yield from ((chr(c), n) for c, n in zip(wide.tolist(), self.letters[wide].tolist()))
+        if self.around:
+            codes, times = np.unique(np.concatenate(self.around), return_counts=True)
+            yield from ((chr(a) + chr(b), n) for a, b, n in zip(*both(codes), times.tolist()))
+
+
+def tallied(texts: Iterable[str]) -> Iterator[tuple[str, int]]:
+    """``token, n`` of the texts; a token may come more than once."""
+    tally, some, size = _Tally(), [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size > SLICE:
+            tally.add(some)
+            some, size = [], 0
+            if tally.full():
+                yield from tally.rows()
+                tally = _Tally()
+    if some:
+        tally.add(some)
+    yield from tally.rows()
+
+
 def counts(texts: DataFrame, text: str) -> DataFrame:
     """``token, n`` over all rows: words (small letters, compounds also whole), pairs of words, characters and pairs of those.
 
-    A word begins with "w", a pair of words with "b"; what is left are characters.
+    A word begins with "w", a pair of words with "b"; what is left are characters. Words stand by their :func:`name`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> pd.DataFrame:
-            c.update({"w" + w: n for w, n in single.items()})
-            c.update({f"b{a} {b}": n for (a, b), n in pairs.items()})
-            c.update({x: n for x, n in letters.items() if x > "⹿"})
-            return pd.DataFrame({"token": list(c), "n": list(c.values())})
-
-        c, single, pairs, letters = Counter(), Counter(), Counter(), Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                if _WIDE.search(t):
-                    flat = "".join(t.split())
-                    letters.update(flat)
-                    c.update(_INTO.findall(flat))
-                    c.update(_OUT_OF.findall(flat))
-                words = [w for w in _WORD.findall(t.lower()) if w < "⺀"]
-                single.update(words)
-                plain = words
-                if "-" in t:
-                    plain = [x for w in words for x in w.split("-")]
-                    single.update([x for w in words if "-" in w for x in w.split("-")])
-                pairs.update(zip(plain, plain[1:]))
-            if len(c) + len(single) + len(pairs) > 300_000:
-                yield rows()
-                c, single, pairs, letters = Counter(), Counter(), Counter(), Counter()
-        yield rows()
+        yield from frames(tallied(t for pdf in batches for t in pdf["text"]), ["token", "n"])
 
     parts = texts.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(run, "token string, n long")
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
@@ -529,7 +689,7 @@ def scanned(nodes: DataFrame, salts: int = 16) -> DataFrame:
                         out.append((d, "#" + got))
                     if (got is None or got[0] == "~") and (form := head_form(x)):
                         out.append((d, form))
-            yield pd.DataFrame(out, columns=["doc_id", "form"])
+            yield from frames(out, ["doc_id", "form"], 2)
 
     forms = mine.select("doc_id", "text").mapInPandas(edges, "doc_id string, form string").groupBy("doc_id", "form").count().join(docs, "doc_id")
     often = F.when(F.col("form").startswith("#~"), F.col("count") >= F.greatest(F.lit(3), 0.3 * F.col("nodes"))).when(F.col("form").startswith("#"), (F.col("count") >= 2) & (F.col("count") >= 0.1 * F.col("nodes"))).otherwise((F.col("count") >= 2) & (F.col("count") >= 0.15 * F.col("nodes")))
@@ -543,8 +703,8 @@ def scanned(nodes: DataFrame, salts: int = 16) -> DataFrame:
 
     def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [layout(t, list(h), list(s), bool(o)) for t, h, s, o in zip(pdf["text"], pdf["heads"], pdf["shapes"], pdf["opens"])]
-            yield pdf[["doc_id", "pos", "text"]].assign(kinds=kinds)
+            given = zip(pdf["doc_id"], pdf["text"], pdf["pos"], pdf["heads"], pdf["shapes"], pdf["opens"])
+            yield from frames(((d, t, layout(t, list(h), list(s), bool(o)), p) for d, t, p, h, s, o in given), ["doc_id", "text", "kinds", "pos"], 3)
 
     ready = salted.join(spread(profile), ["doc_id", "salt"]).select("doc_id", "pos", "text", "heads", "shapes", (F.col("pos") == F.col("first")).alias("opens"))
     ready = ready.mapInPandas(laid_out, "doc_id string, pos int, text string, kinds string")
@@ -554,22 +714,33 @@ def scanned(nodes: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """``word, joins``: the distinct words of the running text, and those that divided words may be halves of."""
+    """``word, joins, long``: the distinct words of the running text, and those that divided words may be halves of.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, bool] = {}
-        for pdf in batches:
-            for t, k in zip(pdf["text"], pdf["kinds"]):
-                r = Running(t, k)
-                for w in r.tokens():
-                    seen.setdefault(w, False)
-                seen.update(dict.fromkeys(r.joins(), True))
-            if len(seen) > 200_000:
-                yield pd.DataFrame(seen.items(), columns=["word", "joins"])
-                seen = {}
-        yield pd.DataFrame(seen.items(), columns=["word", "joins"])
+    ``word`` is the :func:`name`; where that is not the word itself, ``long`` is.
+    """
 
-    return pages.select("text", "kinds").mapInPandas(run, "word string, joins boolean").groupBy("word").agg(F.max("joins").alias("joins"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            own, joins, running, size = set(), set(), [], 0
+            for pdf in batches:
+                for t, k in zip(pdf["text"], pdf["kinds"]):
+                    r = Running(t, k)
+                    joins |= r.joins()
+                    running.append(r.running())
+                    size += len(running[-1])
+                    if size > SLICE:
+                        own |= tokens("\n".join(running))
+                        running, size = [], 0
+                        if len(own) + len(joins) > 200_000 or sum(map(len, own)) > FRAME_CHARS:
+                            yield from ((w, w in joins) for w in own | joins)
+                            own, joins = set(), set()
+            own |= tokens("\n".join(running))
+            yield from ((w, w in joins) for w in own | joins)
+
+        yield from frames(((key := name(w), None if key == w else w, j) for w, j in rows()), ["word", "long", "joins"], 2)
+
+    found = pages.select("text", "kinds").mapInPandas(run, "word string, joins boolean, long string")
+    return found.groupBy("word", "long").agg(F.max("joins").alias("joins"))  # a name has one word
 
 
 def readings(words: DataFrame, table: DataFrame) -> DataFrame:
@@ -579,18 +750,17 @@ def readings(words: DataFrame, table: DataFrame) -> DataFrame:
     make likely are left out, and so are words without any, but for those that divided words may be.
     """
     counted = table.filter(F.col("token").startswith("w")).select(F.substring("token", 2, 10_000).alias("word"), F.col("n"))
-    own = cut(words.join(counted, "word", "left").select("word", "joins", F.coalesce("n", F.lit(0)).alias("n")))
+    own = cut(words.join(counted, "word", "left").select("word", "joins", "long", F.coalesce("n", F.lit(0)).alias("n")))
 
     def made(source: DataFrame, edits: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(w, n, r, list(used)) for w, n in zip(pdf["word"], pdf["n"]) for r, used in _possible(w, edits)]
-                for i in range(0, len(rows), 50_000):
-                    yield pd.DataFrame(rows[i : i + 50_000], columns=["word", "own", "reading", "used"])
+                rows = ((w, name(r), list(used), n, bool(long) and not long.replace("-", "").isalpha()) for w, long, n in zip(pdf["word"], pdf["long"], pdf["n"]) for r, used in _possible(long or w, edits))
+                yield from frames(rows, ["word", "reading", "used", "own", "mixed"], 2)
 
-        tried = source.select("word", "n").mapInPandas(run, "word string, own long, reading string, used array<int>")
+        tried = source.select("word", "long", "n").mapInPandas(run, "word string, mixed boolean, own long, reading string, used array<int>")
         met = tried.join(counted.select(F.col("word").alias("reading"), "n"), "reading")
-        mixed = ~F.col("word").rlike(r"^[\p{L}-]+$")
+        mixed = F.col("mixed") | ~F.col("word").startswith("\x01") & ~F.col("word").rlike(r"^[\p{L}-]+$")
         odds = (WORD_ODDS * MOVE) ** edits * CONTEXT**2
         return met.filter(mixed | (F.col("n") >= LEAST) & (F.col("n") * odds > F.col("own"))).select("word", "reading", "n", "used")
 
@@ -637,24 +807,40 @@ def _bit_set(keys: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-@lru_cache(maxsize=100_000)
-def _single(word: str) -> tuple[str, ...]:
-    return tuple(form for form, _ in candidates(word))
+class _Forms(dict):
+    """Of each word that is worth asking for, (itself and its readings by one confusion that may be known, keys to ask for)."""
+
+    def __init__(self, worth: np.ndarray, readable: np.ndarray):
+        super().__init__()
+        self.worth, self.readable = worth, readable
+
+    def __missing__(self, word: str) -> tuple[list[str], list[str]] | None:
+        if len(self) > 100_000:
+            self.clear()
+        bare = dict.fromkeys((word, word[:-1], word.rstrip("!|")) if word[-1] in "!|" else (word,))
+        own = [x for x in bare if len(x) > 1 and self.worth[bit(name(x))]]
+        forms = [word, *[c for x in own for c, _ in candidates(x) if self.readable[bit(name(c))]]]
+        got = (forms, ["r" + name(x) for x in own]) if own else None
+        if len(word) <= LONGEST:
+            self[word] = got
+        return got
 
 
-def _asked(r: Running, frequent: dict, worth: np.ndarray, readable: np.ndarray) -> set[str]:
+def _asked(r: Running, frequent: dict, forms: _Forms) -> set[str]:
     """Keys of the counts that decoding a node may use and that are not broadcast."""
-    out = {"r" + w for w in r.joins()}
-    some = {w for w in r.tokens() if worth[bit(w)]}
-    out.update(["r" + w for w in some])
-    for words in r.words.values() if some else ():
-        low = [w.lower() for _, w in words]
-        if some.isdisjoint(low) and not any(w[-1] in "!|" and w[:-1] in some for w in low):
+    out = {"r" + name(w) for w in r.joins()}
+    for low in r.low.values():
+        some = [forms[w] for w in low]
+        if not any(some):
             continue
-        forms = [[w, *[c for x in {w, w.rstrip("!|")} & some for c in _single(x) if readable[bit(c)]]] for w in low]
-        for a, b in zip(forms, forms[1:]):
+        for x in some:
+            if x:
+                out.update(x[1])
+        for k in range(len(low) - 1):
+            a, b = (x[0] if x else [w] for x, w in zip(some[k : k + 2], low[k : k + 2]))
             if len(a) > 1 or len(b) > 1:
-                for x in a:
+                b = [name(y) for y in b]
+                for x in map(name, a):
                     out.add("w" + x)
                     out.update([f"b{x} {y}" for y in b])
                 out.update(["w" + y for y in b])
@@ -690,9 +876,10 @@ def _labelled(nodes: DataFrame, schema: str, rows_of) -> DataFrame:
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, _, _, _, some_word, some_reading = shared.value
+        forms = _Forms(some_word, some_reading)
         for pdf in batches:
-            rows = [(n, k) for n, t, kinds in zip(pdf["node"], pdf["text"], pdf["kinds"]) for k in _asked(Running(t, kinds), common, some_word, some_reading)]
-            yield pd.DataFrame(rows, columns=["node", "key"])
+            rows = ((k, n) for n, t, kinds in zip(pdf["node"], pdf["text"], pdf["kinds"]) for k in _asked(Running(t, kinds), common, forms))
+            yield from frames(rows, ["key", "node"])
 
     none = F.lit(None).cast("array<struct<n:bigint,reading:string,used:array<int>>>")
     answers = table.filter((is_word | is_pair) & of_words).select(F.col("token").alias("key"), "n", none.alias("found"))
@@ -702,26 +889,29 @@ def _labelled(nodes: DataFrame, schema: str, rows_of) -> DataFrame:
     forms = F.transform("found", lambda f: F.concat_ws(" ", f["reading"], f["n"].cast("string"), F.array_join(f["used"].cast("array<string>"), ",")))
     line = F.concat_ws("\t", "key", F.col("n").cast("string"), F.coalesce(F.array_join(forms, "|"), F.lit("-")))
     got = got.groupBy("node").agg(F.array_join(F.collect_list(line), "\n").alias("got"))
-    names = [x.split()[0] for x in schema.split(", ")]
+    _, _, number, last = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, chars, learned, everything, _, _ = shared.value
         own = Model(common, chars, learned, everything)
-        for pdf in batches:
-            out = []
+
+        def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
             for d, p, t, kinds, answered in zip(pdf["doc_id"], pdf["pos"], pdf["text"], pdf["kinds"], pdf["got"]):
                 own.asked = dict(map(_answer, answered.split("\n"))) if answered else {}
-                out += [(d, p, *row) for row in rows_of(label(t, kinds, own))]
-            yield pd.DataFrame(out, columns=names)
+                for k, x in rows_of(t, kinds, own):
+                    yield d, x, p, k
+
+        for pdf in batches:
+            yield from frames(rows(pdf), ["doc_id", last, "pos", number], 2)
 
     return pages.join(got, "node", "left").select("doc_id", "pos", "text", "kinds", "got").mapInPandas(run, schema)
 
 
 def noisy_lines(nodes: DataFrame) -> DataFrame:
     """``doc_id, pos, line_no, noise`` of the noisy lines in the current nodes of scanned documents."""
-    return _labelled(nodes, "doc_id string, pos int, line_no int, noise string", lambda got: got[0])
+    return _labelled(nodes, "doc_id string, pos int, line_no int, noise string", lambda t, kinds, model: label(t, kinds, model, repair=False)[0])
 
 
 def repaired(nodes: DataFrame) -> DataFrame:
     """``doc_id, pos, para_no, text``: the text of the current nodes of scanned documents as whole paragraphs."""
-    return _labelled(nodes, "doc_id string, pos int, para_no int, text string", lambda got: list(enumerate(got[1])))
+    return _labelled(nodes, "doc_id string, pos int, para_no int, text string", lambda t, kinds, model: enumerate(label(t, kinds, model)[1]))

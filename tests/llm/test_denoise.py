@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 from docloom.llm import denoise
 
@@ -108,3 +110,61 @@ def test_learned_odds_and_bit_sets(spark):
     bits = denoise._bit_set(known.selectExpr("word as key"))
     assert bits.sum() == 2 and bits[denoise.bit("thc")] and bits[denoise.bit("wbo")]
     assert dict(denoise.candidates("des", 1)) and all(x.isalpha() for x, _ in denoise.candidates("c1e", 2))
+
+
+def test_tally_counts_as_read_one_by_one():
+    rnd = random.Random(1)
+    alphabet = "ab-cé的旳航中ー\0 \n1_İΣσß-'’𝐀가ไท"
+    likes = set(denoise.LIKE)
+    for _ in range(300):
+        texts, want = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) for _ in range(rnd.randrange(5))], Counter()
+        for t in texts:
+            words = [w for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", t.lower()) if w < "⺀"]
+            plain = [x for w in words for x in w.split("-")]
+            want.update(["w" + w for w in words if "-" in w] + ["w" + w for w in plain] + [f"b{a} {b}" for a, b in zip(plain, plain[1:])])
+            if re.search("[぀-ヿ㐀-鿿]", t):
+                flat = "".join(t.split())
+                want.update([c for c in flat if c > "⹿"] + [a + b for a, b in zip(flat, flat[1:]) if a in likes or b in likes])
+        got = Counter()
+        for token, n in denoise.tallied(texts):
+            got[token] += n
+        assert got == want, texts
+
+
+def test_frames_stay_below_what_arrow_takes(monkeypatch):
+    monkeypatch.setattr(denoise, "FRAME_CHARS", 1000)
+    texts = [" ".join(f"{'x' * 90}{chr(97 + i)}{chr(97 + j)}" for i in range(20)) for j in range(20)]
+    sizes = [f["token"].str.len().sum() for f in denoise.frames(denoise.tallied(texts), ["token", "n"])]
+    assert len(sizes) > 30 and max(sizes) <= 1000
+    [empty] = denoise.frames([], ["token", "n"])
+    assert len(empty) == 0 and list(empty.dtypes) == [object, object]
+
+
+def test_counts_where_a_part_ends_without_tokens(spark):
+    """A part without words, and one whose last text holds so many that they were returned before its end."""
+    few = spark.createDataFrame([("the text 12",), ("34",)], "text string").repartition(5)
+    assert {r["token"]: r["n"] for r in denoise.counts(few, "text").collect()} == {"wthe": 1, "wtext": 1, "bthe text": 1}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:9]]
+    many = spark.createDataFrame([(" ".join(words),)], "text string").coalesce(1)
+    assert denoise.counts(many, "text").count() == 2 * len(words) - 1 > 300_000
+
+
+def test_long_words(spark):
+    """A word of any length may stand in any number of pairs: it is counted under a short name, and may be misread."""
+    good = "extractor" * 600
+    bad = good.replace("e", "c", 1)
+    neighbours = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
+    rows = [(f"{x} {good}",) for x in neighbours] + [(bad,)]
+    table = denoise.counts(spark.createDataFrame(rows, "text string"), "text").cache()
+    tokens = {r["token"]: r["n"] for r in table.collect()}
+    assert max(map(len, tokens)) < 200
+    assert tokens["w" + denoise.name(good)] == 300 and tokens[f"baax {denoise.name(good)}"] == 1
+    pages = spark.createDataFrame([(f"the text\n{bad}", "tt")], "text string, kinds string")
+    known = {r["word"]: r for r in denoise.readings(denoise.vocabulary(pages), table).collect()}
+    [found] = known[denoise.name(bad)]["found"]
+    assert (found["reading"], found["n"], denoise.PAIRS[found["used"][0]]) == (denoise.name(good), 300, ("c", "e"))
+    model = denoise.Model({}, {})
+    model.asked = {"r" + denoise.name(bad): (1, [(found["reading"], found["n"], tuple(found["used"]))])}
+    assert model.misread(bad) == good
+    assert denoise.label(f"the text\n{bad}", "tt", model)[0] == [(2, "misread")]
